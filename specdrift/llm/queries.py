@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specdrift.llm import quality_rules
-from specdrift.llm.io import table
+from specdrift.llm import bpe, language_id, mixing, quality_model, quality_rules
+from specdrift.llm.io import stored, table
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,45 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bpe.digest_documents(docs, tokenizer_path())
+
+
+def _fold(divisor: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % divisor
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(_fold(4) == 2, F.lit(False))
+    names, logp = language_id.train(docs.filter(~held_out))
+    rows = docs.select("doc_id", held_out.alias("held_out"), "text")
+    return language_id.predict(rows, names, logp).drop("text")
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken")
+    )
+
+
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(_fold(3) == 1, F.lit(False))
+    rows = stored(quality_model.with_statistics(docs).select("doc_id", held_out.alias("held_out"), "x"), "op7")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("y")).filter("y is not null")
+    model = quality_model.fit(stored(rows.filter(~held_out).join(labels, "doc_id").select("x", "y"), "op7-train"))
+    return quality_model.score_rows(rows, model)
+
+
 _STOP = ", ".join(f"'{w}'" for w in quality_rules.STOP_FORMS)
 OP6_SQL = rf"""
 WITH w AS (
@@ -48,5 +87,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-QUERIES = {"op6_quality_rules": op6_quality_rules}
+QUERIES = {
+    "op3_bpe": op3_bpe,
+    "op4_language_id": op4_language_id,
+    "op5_mixing": op5_mixing,
+    "op6_quality_rules": op6_quality_rules,
+    "op7_quality_model": op7_quality_model,
+}
 ORACLES = {"op6_quality_rules": OP6_SQL}
