@@ -35,6 +35,8 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
+from specdrift.llm.io import extended
+
 #: Fixed pattern of the byte-level pre-tokenizer.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Chunks of text, and pieces, whose ids a worker remembers before it starts afresh.
@@ -246,7 +248,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str =
             yield _with(batch, {ids: column})
 
     kept = docs.drop(ids)
-    return kept.mapInArrow(run, kept.schema.add(ids, "array<int>"))
+    return kept.mapInArrow(run, extended(kept.schema, f"`{ids}` array<int>"))
 
 
 def decode_documents(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -259,7 +261,7 @@ def decode_documents(docs: DataFrame, path: str, ids: str = "ids", text: str = "
             yield _with(batch, {text: pa.array(found, pa.string())})
 
     kept = docs.drop(text)
-    return kept.mapInArrow(run, kept.schema.add(text, "string"))
+    return kept.mapInArrow(run, extended(kept.schema, f"`{text}` string"))
 
 
 def digest_documents(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -282,10 +284,8 @@ def digest_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
 
     made = ("n_tokens", "ids_sha256", "decoded_sha256")
     kept = docs.drop(*[c for c in made if c != text])
-    schema = kept.drop(text).schema
-    for c in made:
-        schema = schema.add(c, "long" if c == "n_tokens" else "string")
-    return kept.mapInArrow(run, schema)
+    ddl = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    return kept.mapInArrow(run, extended(kept.drop(text).schema, ddl))
 
 
 def _sliced(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:

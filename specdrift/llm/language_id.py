@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from specdrift.llm.io import extended
 from specdrift.llm.vectors import collect_vectors, split_blocks, sum_blocks
 
 BUCKETS = 1 << 18
@@ -142,4 +143,4 @@ def predict(docs: DataFrame, names: list[str], logp: np.ndarray, text: str = "te
                     sure.append(0.0)
             yield batch.assign(lang_pred=pd.Series(best, index=batch.index, dtype=object), score=np.array(sure, float))
 
-    return kept.mapInPandas(score, kept.schema.add("lang_pred", "string").add("score", "double"))
+    return kept.mapInPandas(score, extended(kept.schema, "lang_pred string, score double"))

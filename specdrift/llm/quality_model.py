@@ -22,6 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from specdrift.llm.io import extended
 from specdrift.llm.vectors import collect_vectors, split_blocks, sum_blocks
 
 FEATURES = 256
@@ -154,7 +155,7 @@ def with_statistics(docs: DataFrame, text: str = "text", into: str = "x") -> Dat
 def score_rows(rows: DataFrame, model: Model, x: str = "x") -> DataFrame:
     """``rows`` without column ``x``, with ``score`` and ``predicted``; the model is a few KB."""
     kept = rows.drop("score", "predicted")
-    out = kept.drop(x).schema.add("score", "double").add("predicted", "int")
+    out = extended(kept.drop(x).schema, "score double, predicted int")
     width = len(model.mean)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
