@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specdrift.llm import bpe, language_id, mixing, quality_model, quality_rules
+from specdrift.llm import bpe, language_id, mixing, near_dedup, quality_model, quality_rules
 from specdrift.llm.io import stored, table
 
 
@@ -55,6 +55,10 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.score_rows(rows, model)
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"))
+
+
 _STOP = ", ".join(f"'{w}'" for w in quality_rules.STOP_FORMS)
 OP6_SQL = rf"""
 WITH w AS (
@@ -93,5 +97,6 @@ QUERIES = {
     "op5_mixing": op5_mixing,
     "op6_quality_rules": op6_quality_rules,
     "op7_quality_model": op7_quality_model,
+    "op8_near_dedup": op8_near_dedup,
 }
 ORACLES = {"op6_quality_rules": OP6_SQL}
