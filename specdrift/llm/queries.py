@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specdrift.llm import bpe, language_id, mixing, near_dedup, quality_model, quality_rules
+from specdrift.llm import bpe, language_id, mixing, near_dedup, quality_model, quality_rules, substring_dedup
 from specdrift.llm.io import stored, table
 
 
@@ -59,6 +59,32 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.find(docs, substring_dedup.digest, "n_words bigint, n_removed bigint, kept_sha256 string")
+
+
+OP10_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+win AS (
+  SELECT doc_id, i, hash(array_to_string(words[i:i+12], ' ')) AS g
+  FROM w, LATERAL (SELECT unnest(generate_series(1, len(words) - 12)) AS i)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS least FROM win) WHERE doc_id > least),
+gone AS (
+  SELECT doc_id, list_distinct(list(i + j)) AS gone_at
+  FROM rep, (SELECT unnest(generate_series(0, 12)) AS j) GROUP BY doc_id),
+k AS (
+  SELECT w.doc_id, words, coalesce(gone_at, []) AS gone_at FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id),
+word AS (
+  SELECT doc_id, len(words) AS n, len(gone_at) AS r,
+         list_filter(list_zip(words, generate_series(1, len(words))), lambda z: NOT list_contains(gone_at, z[2])) AS kept
+  FROM k)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(r AS BIGINT) AS n_removed,
+       sha256(array_to_string(list_transform(kept, lambda z: z[1]), ' ')) AS kept_sha256
+FROM word
+"""
+
+
 _STOP = ", ".join(f"'{w}'" for w in quality_rules.STOP_FORMS)
 OP6_SQL = rf"""
 WITH w AS (
@@ -98,5 +124,6 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_quality_model": op7_quality_model,
     "op8_near_dedup": op8_near_dedup,
+    "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLES = {"op6_quality_rules": OP6_SQL}
+ORACLES = {"op6_quality_rules": OP6_SQL, "op10_substring_dedup": OP10_SQL}
