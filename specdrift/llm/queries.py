@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specdrift.llm import bpe, language_id, mixing, near_dedup, quality_model, quality_rules, substring_dedup
+from specdrift.llm import bpe, language_id, mixing, near_dedup, quality_model, quality_rules, substring_dedup, suffix_dedup
 from specdrift.llm.io import stored, table
 
 
@@ -59,6 +59,12 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ddl = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
+    return suffix_dedup.find(docs, suffix_dedup.digest, ddl)
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.find(docs, substring_dedup.digest, "n_words bigint, n_removed bigint, kept_sha256 string")
@@ -124,6 +130,7 @@ QUERIES = {
     "op6_quality_rules": op6_quality_rules,
     "op7_quality_model": op7_quality_model,
     "op8_near_dedup": op8_near_dedup,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
 ORACLES = {"op6_quality_rules": OP6_SQL, "op10_substring_dedup": OP10_SQL}
