@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specdrift.llm import bpe, language_id, mixing, near_dedup, quality_model, quality_rules, substring_dedup, suffix_dedup
+from specdrift.llm import ann, bpe, language_id, mixing, near_dedup, quality_model, quality_rules, substring_dedup, suffix_dedup
 from specdrift.llm.io import stored, table
 
 
@@ -16,6 +16,11 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(base, base.filter("vec_id % 20 = 0"), 20, "embedding", "vec_id")
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -124,6 +129,7 @@ FROM b
 """
 
 QUERIES = {
+    "op2_ann": op2_ann,
     "op3_bpe": op3_bpe,
     "op4_language_id": op4_language_id,
     "op5_mixing": op5_mixing,
