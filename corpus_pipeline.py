@@ -1,13 +1,16 @@
-"""The corpus pipeline: quality rules, near-duplicates, substrings, mixing, encoding."""
+"""The corpus pipeline: quality rules, near-duplicates, substrings, mixing, encoding.
+
+Each stage takes the documents that its predecessor kept and returns them with the columns of
+``documents``; the last returns doc_id, n_tokens and the token ids.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from specdrift.llm import quality_rules
-from specdrift.llm.io import stored, table
-
-DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
+from specdrift.llm import bpe, mixing, near_dedup, quality_rules, substring_dedup
+from specdrift.llm.io import stored, table, tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,11 +18,46 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality_rules.apply_rules(docs).filter("kept").select(*docs.columns)
 
 
-STAGES = [("quality_rules", quality_stage)]
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class: the one with the least doc_id. Rows without a doc_id stay."""
+    classes = near_dedup.classes(docs).filter("doc_id <> class_id").select("doc_id")
+    return docs.join(classes, "doc_id", "left_anti").select(*docs.columns)
+
+
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of 13 words or more that start in a document of smaller doc_id;
+    documents of which nothing is left go."""
+    rest = docs.withColumn("__had", F.length("text"))
+    cut = substring_dedup.find(rest, substring_dedup.cleaned, "text string")
+    kept = cut.filter(F.col("text").rlike(quality_rules.WORD) | (F.coalesce("__had", F.lit(0)) == 0))
+    return kept.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    mixed = mixing.mix(docs).filter("copies > 0")
+    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and token ids of each text."""
+    encoded = bpe.encode_documents(docs.select("doc_id", "text"), tokenizer_path())
+    return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("near_dedup", near_dedup_stage),
+    ("substring_dedup", substring_stage),
+    ("mixing", mixing_stage),
+    ("bpe", encoding_stage),
+]
+#: Near-duplicate classes and token ids have no SQL form; the tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``, each but the last written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)

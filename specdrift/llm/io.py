@@ -36,3 +36,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def extended(schema: StructType, ddl: str) -> StructType:
     """A new schema: the fields of ``schema`` and then those of ``ddl``."""
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])
+
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public tokenizer file is on this machine (and on every executor)."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -147,6 +147,9 @@ def apply_rules(docs: DataFrame, text: str = "text", base: Sequence[Rule] = BASE
     one by one, all alike.
     """
     measured = measure(docs.drop("base_failed", "kept"), text)
-    return measured.withColumn("base_failed", compile_rules(base)).withColumn(
-        "kept", ~F.col("base_failed") & ~compile_rules(table)
-    )
+    # The partition number is never negative. Being non-deterministic to the optimizer, it keeps a
+    # filter on ``kept`` above this projection; pushed below, the filter would repeat the array
+    # expressions inside their own lambdas.
+    here = F.spark_partition_id() >= 0
+    failed = compile_rules(base)
+    return measured.select("*", failed.alias("base_failed"), (here & ~failed & ~compile_rules(table)).alias("kept"))

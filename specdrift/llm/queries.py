@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specdrift.llm import ann, bpe, language_id, mixing, near_dedup, quality_model, quality_rules, substring_dedup, suffix_dedup
-from specdrift.llm.io import stored, table
+from specdrift.llm import ann, bpe, language_id, mixing, near_dedup, quality_model, quality_rules, substring_dedup, suffix_dedup, token_counts
+from specdrift.llm.io import shared_dir, stored, table, tokenizer_path
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,15 +16,22 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return ann.search(base, base.filter("vec_id % 20 = 0"), 20, "embedding", "vec_id")
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the documents' words as flat files of 16-bit ids, and counts tokens from those alone."""
+    path, separator = shared_dir(spark, "tokens"), 65_535
+    token_counts.write_token_files(token_counts.word_tokens(table(spark, sf_dir, "documents")), path, separator)
+    return token_counts.count_tokens(spark, path, separator).select("n_tokens", "ended")
+
 
+OP1_SQL = r"""
+SELECT CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens, true AS ended
+FROM documents
+"""
 
-def tokenizer_path() -> str:
-    import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(base, base.filter("vec_id % 20 = 0"), 20, "embedding", "vec_id")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,6 +136,7 @@ FROM b
 """
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op2_ann": op2_ann,
     "op3_bpe": op3_bpe,
     "op4_language_id": op4_language_id,
@@ -139,4 +147,4 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLES = {"op6_quality_rules": OP6_SQL, "op10_substring_dedup": OP10_SQL}
+ORACLES = {"op1_token_counts": OP1_SQL, "op6_quality_rules": OP6_SQL, "op10_substring_dedup": OP10_SQL}
