@@ -1,0 +1,104 @@
+"""Evaluation, usage and cost aggregates. Every rate is 0 where its denominator is 0."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+
+def rate(part: Column, whole: Column) -> Column:
+    return F.coalesce(F.try_divide(part.cast("double"), whole.cast("double")), F.lit(0.0))
+
+
+def judge_metrics(cases: DataFrame, by: list[str] | None = None) -> DataFrame:
+    kept, useful = F.col("verdict") == "ACCEPT", F.col("human_useful")
+    n, k, u = F.count(F.lit(1)), F.count_if(kept), F.count_if(useful)
+    false_keeps, false_rejects = F.count_if(kept & ~useful), F.count_if(useful & (F.col("verdict") == "REJECT"))
+    return cases.groupBy(*by or []).agg(
+        n.alias("total"), k.alias("kept"), rate(k, n).alias("keep_rate"),
+        false_keeps.alias("false_keeps"), rate(false_keeps, k).alias("false_keep_rate"),
+        false_rejects.alias("false_rejects"), rate(false_rejects, u).alias("false_reject_rate"),
+    )
+
+
+def ablation_metrics(cases: DataFrame) -> DataFrame:
+    low, high = F.coalesce(F.avg("signature_only_score"), F.lit(0.0)), F.coalesce(F.avg("full_context_score"), F.lit(0.0))
+    return cases.agg(
+        F.count(F.lit(1)).alias("total"), low.alias("signature_only_mean"), high.alias("full_context_mean"),
+        (high - low).alias("mean_improvement"),
+    )
+
+
+def promotion_metrics(cases: DataFrame) -> DataFrame:
+    useful = F.col("kind") == "intent"
+    accepted = F.col("accepted")
+    return cases.agg(
+        F.count(F.lit(1)).alias("total"),
+        rate(F.count_if(useful & accepted & F.col("retained_intent")), F.count_if(useful)).alias("intent_retention_rate"),
+        rate(F.count_if(accepted & ~F.col("safe_claim")), F.count_if(accepted)).alias("unsafe_promotion_rate"),
+        rate(F.count_if(~useful & ~accepted), F.count_if(~useful)).alias("noise_rejection_rate"),
+    )
+
+
+def stage_totals(stages: DataFrame, counters: list[str], by: list[str] | None = None) -> DataFrame:
+    return stages.groupBy(*by or []).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counters])
+
+
+def merge_usage(usage: DataFrame, by: list[str]) -> DataFrame:
+    """Adds up usage. Basis ``none`` changes nothing, equal ones stay, mixed ones are ``unknown``; a
+    cost is only given in usd."""
+    real = F.when(F.col("cost_basis") != "none", F.col("cost_basis"))
+    kinds = F.count_distinct(real)
+    basis = F.when(kinds == 0, "none").when(kinds == 1, F.max(real)).otherwise("unknown")
+    return usage.groupBy(*by).agg(
+        F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
+        F.bool_and(F.coalesce("token_counts_available", F.lit(True))).alias("token_counts_available"),
+        basis.alias("cost_basis"),
+        F.when(basis == "usd", F.coalesce(F.sum("cost_usd"), F.lit(0))).alias("cost_usd"),
+    )
+
+
+def cost(input_tokens: Column, output_tokens: Column, input_price: Column, output_price: Column) -> Column:
+    """USD at prices for a million tokens; null without a price."""
+    return (input_tokens * input_price + output_tokens * output_price) / 1_000_000
+
+
+def cached_cost(plain: Column, write_5m: Column, write_1h: Column, read: Column, out: Column, price_in: Column, price_out: Column) -> Column:
+    """Cache writes cost 1.25 (5 minutes) or 2 (1 hour) times the input price, reads a tenth."""
+    weighted = plain + write_5m * 1.25 + write_1h * 2.0 + read * 0.1
+    return (weighted * price_in + out * price_out) / 1_000_000
+
+
+#: Tokens that a request needs beside its context: (input, output) of a generation and of a judgement.
+GENERATION_EXTRA, JUDGE_EXTRA = (300, 300), (800, 80)
+
+
+def run_estimate(runs: DataFrame, judge: bool = True) -> DataFrame:
+    """runs (n, budget, usable) to token estimates. ``usable`` is what the smaller of the models' context
+    windows leaves after output and prompt overhead; the budget is cut to it."""
+    budget, n = F.least("budget", "usable"), F.col("n")
+    inputs, outputs = n * (budget + GENERATION_EXTRA[0]), n * GENERATION_EXTRA[1]
+    if judge:
+        inputs, outputs = inputs + n * (budget + JUDGE_EXTRA[0]), outputs + n * JUDGE_EXTRA[1]
+    return runs.withColumn("input_tokens", inputs).withColumn("output_tokens", outputs)
+
+
+def price_lookup(models: DataFrame, prices: DataFrame, by_prefix: bool = True) -> DataFrame:
+    """Models with the first price (by ord) whose pattern is a prefix of, or is found in, their name.
+
+    ``prices`` is the providers' price list, a few dozen rows; Spark picks the join by its size.
+    """
+    hit = F.startswith("model", "pattern") if by_prefix else F.contains("model", "pattern")
+    joined = models.join(prices, hit, "left")
+    keys = models.columns
+    return joined.groupBy(*keys).agg(F.min_by(F.struct("input_price", "output_price"), "ord").alias("p")).select(
+        *keys, "p.input_price", "p.output_price"
+    )
+
+
+def file_hashes(files: DataFrame) -> DataFrame:
+    return files.dropDuplicates(["file"]).select("file", F.sha2("content", 256).alias("hash"))
+
+
+def outline_targets(targets: DataFrame, least: int = 2) -> DataFrame:
+    return targets.groupBy("file").agg(F.count(F.lit(1)).alias("targets")).filter(F.col("targets") >= least)

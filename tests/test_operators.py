@@ -1,0 +1,103 @@
+"""Worked expectations on small rows."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from specdrift.functions import text as T
+from specdrift.operators import classify as C
+from specdrift.operators import context as X
+from specdrift.operators import graph as G
+from specdrift.operators import metrics as M
+from specdrift.operators import outcome as O
+
+CUR = "id string, symbol_hash string, doc_hash string, has_doc boolean, start_line int"
+LOCK = "id string, symbol_hash string, doc_hash string, file_path string, start_line int"
+
+
+def test_four_statuses_and_two_exclusions(spark):
+    cur = spark.createDataFrame([("a#same", "1", "d", True, 1), ("a#code", "2", "d", True, 2), ("a#none", "1", T.EMPTY_DOC_HASH, False, 3), ("a#both", "2", "e", True, 4), ("a#new", "1", "d", True, 5)], CUR)
+    lock = spark.createDataFrame([("a#same", "1", "d", "a", 1), ("a#code", "1", "d", "a", 2), ("a#both", "1", "d", "a", 4), ("b#gone", "1", "d", "b", 9), ("b#known", "1", "d", "b", 9), ("b#bare", "1", T.EMPTY_DOC_HASH, "b", 9)], LOCK)
+    known = spark.createDataFrame([("b#known",)], "id string")
+    rows = {r["id"]: r["status"] for r in C.classify(cur, known, lock).collect()}
+    assert rows == {"a#same": "unchanged", "a#code": "drifted", "a#none": "missing", "a#both": "unchanged", "a#new": "unchanged", "b#gone": "orphaned"}
+
+
+def test_report_and_summary(spark):
+    rows = spark.createDataFrame([(s,) for s in C.STATUSES], "status string")
+    assert {r["status"] for r in C.reportable(rows).collect()} == {"drifted", "orphaned"}
+    assert tuple(C.status_summary(rows).first()) == (1, 1, 1, 1)
+    assert tuple(C.status_summary(rows.limit(0)).first()) == (0, 0, 0, 0)
+
+
+def test_diff_hunks(spark):
+    lines = ["--- a/x.ts", "+++ /dev/null", "@@ -1,2 +0,0 @@", "--- a/y.ts", "+++ b/z.ts", "@@ -1 +5,3 @@", "@@ -9 +20 @@"]
+    df = spark.createDataFrame([(1, i, s) for i, s in enumerate(lines)], "diff int, ord int, line string")
+    assert sorted(map(tuple, C.parse_diff(df).drop("diff").collect())) == [("x.ts", 1, 1), ("z.ts", 5, 7), ("z.ts", 20, 20)]
+
+
+def test_changed_since_keeps_orphans_by_path(spark):
+    rows = spark.createDataFrame([("a", "x", "missing", 1, 1), ("b", "x", "missing", 2, 2), ("c", "x", "orphaned", 9, 9), ("d", "y", "orphaned", 2, 2)], "id string, file_path string, status string, start_line int, end_line int")
+    hunks = spark.createDataFrame([("x", 2, 2)], "path string, start int, end int")
+    assert {r["id"] for r in C.changed_since(rows, hunks).collect()} == {"b", "c"}
+
+
+def test_components_and_levels(spark):
+    edges = spark.createDataFrame([("mutualA", "mutualB"), ("mutualB", "mutualA"), ("orchestrate", "leaf"), ("orchestrate", "mutualA")], "src string, dst string")
+    scc = G.strongly_connected(edges)
+    found = {r["node"]: r["component"] for r in scc.collect()}
+    assert found == {"mutualA": "mutualA", "mutualB": "mutualA", "orchestrate": "orchestrate", "leaf": "leaf"}
+    nodes = scc.select(F.col("component").alias("node"))
+    assert {r["node"]: r["level"] for r in G.levels(G.condense(edges, scc), nodes).collect()} == {"leaf": 0, "mutualA": 0, "orchestrate": 1}
+    with pytest.raises(ValueError):
+        G.levels(edges)
+
+
+def test_star_has_two_levels(spark):
+    star = spark.range(1, 2000).select(F.col("id").alias("src"), F.lit(0).cast("bigint").alias("dst"))
+    assert {(r["level"], r["count"]) for r in G.levels(star).groupBy("level").count().collect()} == {(0, 1), (1, 1999)}
+
+
+def test_diverse_sample_takes_first_of_each_module(spark):
+    rows = spark.createDataFrame([("f", "src", 1), ("f", "src", 2), ("f", "pay", 3)], "callee string, module string, ord int")
+    assert {r["ord"] for r in X.sample_sites(rows, 2, ["ord"]).collect()} == {1, 3}
+    assert {r["ord"] for r in X.sample_sites(rows, 2, ["ord"], diverse=False).collect()} == {1, 2}
+    assert X.sample_sites(rows, 0, ["ord"]).count() == 0
+
+
+def test_pack_skips_or_stops(spark):
+    rows = spark.createDataFrame([("o", 1, 5), ("o", 2, 9), ("o", 3, 3)], "owner string, ord int, cost int")
+    assert tuple(X.pack(rows, 10).first()) == ("o", [1, 3], 8)
+    assert tuple(X.pack(rows, 10, stop=True).first()) == ("o", [1], 5)
+    assert tuple(X.pack(rows, 8, separator=1).first()) == ("o", [1], 5)
+
+
+def test_rates_are_zero_without_cases(spark):
+    cases = spark.createDataFrame([(True, "ACCEPT"), (False, "ACCEPT"), (True, "REJECT"), (False, "REJECT")], "human_useful boolean, verdict string")
+    assert tuple(M.judge_metrics(cases).first()) == (4, 2, 0.5, 1, 0.5, 1, 0.5)
+    assert tuple(M.judge_metrics(cases.limit(0)).first()) == (0, 0, 0.0, 0, 0.0, 0, 0.0)
+    ab = spark.createDataFrame([(1.0, 4.0), (2.0, 4.0)], "signature_only_score double, full_context_score double")
+    assert tuple(M.ablation_metrics(ab).first()) == (2, 1.5, 4.0, 2.5)
+
+
+def test_usage_basis(spark):
+    rows = [("a", "none", None), ("a", "usd", 1.5), ("b", "usd", 1.0), ("b", "subscription", None), ("c", "none", None)]
+    usage = spark.createDataFrame([(r, 1, 2, None, b, c) for r, b, c in rows], "run string, input_tokens long, output_tokens long, token_counts_available boolean, cost_basis string, cost_usd double")
+    got = {r["run"]: (r["cost_basis"], r["cost_usd"]) for r in M.merge_usage(usage, ["run"]).collect()}
+    assert got == {"a": ("usd", 1.5), "b": ("unknown", None), "c": ("none", None)}
+
+
+def test_outcome_precedence(spark):
+    g = spark.createDataFrame([("s", "SKIP", "x"), ("f", None, "x"), ("j", "OK", None), ("r", "OK", None), ("m", "OK", None), ("g", "OK", None)], "symbol string, verdict string, error string")
+    j = spark.createDataFrame([("j", True, "x"), ("r", False, None), ("g", True, None)], "symbol string, accepted boolean, error string")
+    assert {r["symbol"]: r["outcome"] for r in O.resolve_outcomes(g, j).collect()} == {"s": "skipped", "f": "failed", "j": "failed", "r": "rejected", "m": "rejected", "g": "generated"}
+
+
+def test_text_functions(spark):
+    df = spark.createDataFrame([("src\\api.ts", "read", "Store", "ab 😀 longword!", "\n a\nb\n")], "path string, name string, container string, t string, body string")
+    row = df.select(
+        T.symbol_id(F.col("path"), F.col("name"), F.col("container")).alias("id"), T.token_count(F.col("t")).alias("n"), T.body_lines(F.col("body")).alias("lines"),
+        T.body_lines(F.lit(" ")).alias("none"), T.retry_wait_ms(F.lit(2)).alias("wait"), T.retry_wait_ms(F.lit(20)).alias("most"),
+    ).first()
+    assert tuple(row) == ("src/api.ts#Store.read", 1 + 1 + 2 + 1, 2, 0, 1000, 60000)
+    for scope, want in ((".", True), ("src", True), ("./src/", True), ("sr", False)):
+        assert df.select(O.in_scope(F.lit("src/a.ts"), scope)).first()[0] is want
