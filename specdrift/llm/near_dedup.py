@@ -11,12 +11,13 @@ which is plain Jaccard when weights are equal. A shingle stops as soon as its ne
 than the text's latest register, so long texts cost little more than one arrival for each shingle.
 
 Registers are grouped into bands; texts that agree in a band are candidates. Copies are collapsed
-first, so a group of copies is one member of its buckets. Within a bucket only pairs with a pivot
-are compared, never all pairs: the pivot is the member with the largest buckets over all bands.
-Pairs are verified exactly on their shingles. Buckets whose members are not all in one component yet
-get another pivot, until every bucket is one component or each of its members has been compared
-with all members outside its component: so no link between components is lost, and a large group of
-near copies costs one comparison for each member. There is no cap on buckets or partners.
+first, so a group of copies is one member of its buckets. Members of a bucket are compared with a
+pivot, the member with the largest buckets over all bands. Pairs whose registers agree too rarely for
+the threshold (by 4 standard deviations) are not formed; the others are verified exactly on their
+shingles. Buckets whose members are not all in one component then get more pivots, sixteen times as many
+in each round, until a bucket is one component or each member has been compared with all members
+outside its component: so no link between components is lost, and a large group of near copies
+costs one comparison for each member. There is no cap on buckets or partners.
 
 Defined results: texts without a word (null, empty, blank) are singletons. Classes are connected
 components of verified links and exact copies; ``class_id`` is the least doc_id of the class. Rows
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from specdrift.llm.graph import components
@@ -39,8 +40,9 @@ from specdrift.llm.textnum import mix64, rolling, utf8, word_bounds, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: A pair at 0.8 meets in at least one of 32 bands of 4 with probability 1 - 5e-8.
-BANDS, ROWS = 32, 4
+#: A pair at 0.8 meets in at least one of 48 bands of 7 with probability 1 - 1.3e-5. Wide bands keep
+#: texts apart that only share a very common passage.
+BANDS, ROWS = 48, 7
 U64 = np.uint64
 #: Shingles worked on at a time.
 CHUNK = 400_000
@@ -112,16 +114,35 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
     return who
 
 
-def _band_rows(sets: list, bands: int, rows: int) -> np.ndarray:
-    sig = signatures(sets, bands * rows).reshape(len(sets), bands, rows)
-    out = np.full((len(sets), bands), U64(0))
+def _brief(sig: np.ndarray) -> np.ndarray:
+    """A byte of each register, eight to a long; registers past the end are 0."""
+    low = np.zeros((len(sig), -(-sig.shape[1] // 8) * 8), np.uint8)
+    low[:, : sig.shape[1]] = (mix64(sig) & U64(0xFF)).astype(np.uint8)
+    return low.view(np.int64)
+
+
+def _differing(a: Column, b: Column) -> Column:
+    """Registers in which two briefs differ."""
+
+    def bytes_apart(x: Column, y: Column) -> Column:
+        d = x.bitwiseXOR(y)
+        for n in (4, 2, 1):
+            d = d.bitwiseOR(F.shiftrightunsigned(d, n))
+        return F.bit_count(d.bitwiseAND(F.lit(0x0101010101010101)))
+
+    return F.aggregate(F.zip_with(a, b, bytes_apart), F.lit(0), lambda s, n: s + n)
+
+
+def _band_rows(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    sig = sig.reshape(len(sig), bands, rows)
+    out = np.full((len(sig), bands), U64(0))
     for r in range(rows):
         out = mix64(out * U64(0x9E3779B97F4A7C15) + sig[:, :, r])
     return mix64(out ^ np.arange(1, bands + 1, dtype=U64))
 
 
 def sketch(docs: DataFrame, k: int, bands: int, rows: int, text: str, doc_id: str) -> DataFrame:
-    """(id, copy_key binary, bands array<bigint>) for each row; bands are null without shingles."""
+    """(id, copy_key binary, bands, brief: arrays of bigint) for each row; bands are null without shingles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -133,24 +154,21 @@ def sketch(docs: DataFrame, k: int, bands: int, rows: int, text: str, doc_id: st
                     size += len(sets[-1][0])
                     at += 1
                 part = batch.iloc[first:at]
-                keys = _band_rows(sets, bands, rows).view(np.int64)
+                sig = signatures(sets, bands * rows)
+                keys, brief = _band_rows(sig, bands, rows).view(np.int64), _brief(sig)
                 yield pd.DataFrame({
                     "id": part["id"].to_numpy(),
                     "copy_key": [hashlib.sha256(utf8(t)).digest() for t in part["t"]],
                     "bands": [b if len(s[0]) else None for b, s in zip(keys, sets, strict=True)],
+                    "brief": list(brief),
                 })
 
     named = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("t"))
-    return named.filter("id is not null").mapInPandas(run, "id bigint, copy_key binary, bands array<bigint>")
+    return named.filter("id is not null").mapInPandas(run, "id bigint, copy_key binary, bands array<bigint>, brief array<bigint>")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, k: int, least: float, text: str, doc_id: str) -> DataFrame:
-    """The pairs (a, b) whose texts have J of ``least`` or more.
-
-    A pivot's pairs are dealt over tasks by the other member, so a hot pivot's text is joined where
-    adaptive execution can split it.
-    """
-    texts = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("t"))
+def verify(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
+    """The pairs (a, b) whose texts, rows (id, t), have J of ``least`` or more."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, mine = None, None
@@ -177,61 +195,65 @@ def classes(
     sketches = stored(sketch(docs, k, bands, rows, text, doc_id), "sketch")
     firsts = sketches.filter("bands is not null").groupBy("copy_key").agg(F.min("id").alias("rep"))
     reps = sketches.join(firsts.withColumnRenamed("copy_key", "ck"), F.col("id") == F.col("rep"))
-    reps = reps.filter("copy_key = ck").select("rep", "bands").dropDuplicates(["rep"])
-    buckets = stored(reps.select("rep", F.explode("bands").alias("bucket")), "buckets")
+    buckets = reps.filter("copy_key = ck").select("rep", F.explode("bands").alias("bucket")).distinct()
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    # only buckets of two or more; degree: how many others share the member's buckets
-    shared = buckets.join(sizes, "bucket")
+    shared = stored(buckets.join(sizes, "bucket"), "shared")
+    # degree: how many members the buckets of a text have
     degree = shared.groupBy("rep").agg(F.sum("n").alias("degree"))
-    members = stored(shared.select("bucket", "rep").join(degree, "rep"), "members")
+    texts = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("t"))
+    texts = stored(texts.join(degree.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    briefs = reps.filter("copy_key = ck").select("rep", "brief").dropDuplicates(["rep"]).join(degree, "rep")
+    members = shared.join(briefs, "rep").select("bucket", "rep", "degree", F.col("rep").alias("comp"), F.lit(False).alias("used"), "brief")
+    # 4 standard deviations below the threshold, so that a pair at it passes but for 3 in 100,000
+    registers = bands * rows
+    apart = int(registers * (1 - least + 4 * (least * (1 - least) / registers) ** 0.5))
 
     tested = links = None
-    open_members = members.withColumn("comp", F.col("rep"))
     turn = 0
     while True:
-        # the turn-th member by degree is the pivot; F.max of structs keeps one row for each bucket
-        order = F.struct("degree", (-F.col("rep")).alias("neg"), F.col("comp").alias("pivot_comp"))
-        unused = open_members if turn == 0 else open_members.filter("not used")
-        pivots = unused.groupBy("bucket").agg(F.max(order).alias("p")).select(
-            "bucket", (-F.col("p.neg")).alias("pivot"), F.col("p.pivot_comp").alias("pivot_comp")
-        )
+        # round t compares every open bucket's members with its 16^t best pivots not used yet
+        once = F.lit(True)
+        if turn == 0:
+            best = members.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("rep")).alias("neg"), "brief")).alias("p"))
+            pivots = best.select("bucket", (-F.col("p.neg")).alias("pivot"), (-F.col("p.neg")).alias("pivot_comp"), F.col("p.brief").alias("pivot_brief"))
+        else:
+            rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("degree").desc(), "rep"))
+            pivots = (
+                members.filter("not used").withColumn("rank", rank).filter(F.col("rank") <= 16**turn)
+                .select("bucket", F.col("rep").alias("pivot"), F.col("comp").alias("pivot_comp"), F.col("brief").alias("pivot_brief"), F.col("bands").alias("pivot_bands"))
+            )
+            # a pair that shares several buckets is formed in the least of them
+            once = F.array_min(F.array_intersect("bands", "pivot_bands")) == F.col("bucket")
         pairs = (
-            open_members.join(pivots, "bucket")
-            .filter("comp <> pivot_comp")
-            .select(F.col("pivot").alias("a"), F.col("rep").alias("b"))
-            .distinct()
-        )
+            members.join(pivots, "bucket")
+            .filter((F.col("comp") != F.col("pivot_comp")) & once & (_differing(F.col("brief"), F.col("pivot_brief")) <= apart))
+            .select(F.greatest("pivot", "rep").alias("b"), F.least("pivot", "rep").alias("a")).distinct()
+        )
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti").join(
-                tested.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"
-            )
-        pairs = stored(pairs, "pairs")
-        if pairs.isEmpty() and turn > 0 and unused.isEmpty():
-            break
-        found = stored(verify(pairs, docs, k, least, text, doc_id), "found")
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = stored(pairs.select("a", "b"), "pairs")
+        found = stored(verify(pairs, texts, k, least), "found")
         tested = pairs if tested is None else tested.union(pairs)
-        links = found if links is None else links.union(found)
-        comps = components(links)
-        base = open_members.withColumn("used", F.lit(False)) if turn == 0 else open_members
-        joined = (
-            base.drop("comp").join(pivots.select("bucket", "pivot"), "bucket", "left")
-            .withColumn("used", F.col("used") | F.coalesce(F.col("pivot") == F.col("rep"), F.lit(False)))
-            .drop("pivot")
-            .join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-            .withColumn("comp", F.coalesce("root", "rep"))
-            .drop("root")
-        )
-        # buckets that are one component are done; so are those with no pivot left but one
-        state = joined.groupBy("bucket").agg(
-            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum((~F.col("used")).cast("int")).alias("left_over")
+        if links is None or not found.isEmpty():
+            links = found if links is None else links.union(found)
+            comps = components(links)
+        now = (
+            members.drop("comp").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
+            .join(pivots.select("bucket", F.col("pivot").alias("rep"), F.lit(True).alias("now")), ["bucket", "rep"], "left")
+            .select("bucket", "rep", "degree", F.coalesce("root", "rep").alias("comp"), (F.col("used") | F.coalesce("now", F.lit(False))).alias("used"), "brief")
+        )
+        # a bucket is done when it is one component, or when all members but one have been pivots
+        state = now.groupBy("bucket").agg(
+            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum((~F.col("used")).cast("int")).alias("unused")
         )
-        going = state.filter("lo <> hi and left_over > 1").select("bucket")
-        open_members = stored(joined.join(going, "bucket", "left_semi"), "open")
+        going = state.filter("lo <> hi and unused > 1").select("bucket")
+        bands_of = reps.filter("copy_key = ck").select("rep", "bands").dropDuplicates(["rep"])
+        members = stored(now.join(going, "bucket", "left_semi").join(bands_of, "rep"), "open")
         turn += 1
-        if open_members.isEmpty():
+        if members.isEmpty():
             break
-    comps = components(links).select(F.col("node").alias("rep"), "root")
-    by_copy = firsts.join(comps, "rep", "left").select("copy_key", F.coalesce("root", "rep").alias("class_id"))
-    return sketches.select("id", "copy_key").join(by_copy, "copy_key", "left").groupBy(F.col("id").alias("doc_id")).agg(
-        F.min(F.coalesce("class_id", "id")).alias("class_id")
+    by_copy = firsts.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "copy_key", F.coalesce("root", "rep").alias("class_id")
     )
+    joined = sketches.select("id", "copy_key").join(by_copy, "copy_key", "left")
+    return joined.groupBy(F.col("id").alias("doc_id")).agg(F.min(F.coalesce("class_id", "id")).alias("class_id"))
