@@ -30,12 +30,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Lines; collisions needed, as a share of them; first share of a block's rows in a window; factor of widening.
-LINES = 128
+LINES = 104
 THRESHOLD = 0.5
 FIRST_SHARE = 0.20
 WIDEN = 1.2
 #: A query is done with a block when this share of the block, and 20 k rows at least, are verified.
-VERIFIED = 0.22
+VERIFIED = 0.24
 BLOCK_ROWS = 16_384
 QUERY_ROWS = 4_096
 #: Queries counted at a time.
@@ -136,12 +136,13 @@ def search(base: DataFrame, queries: DataFrame, k: int, vec: str, vec_id: str, l
     top = base_rows.agg(F.max(norm)).first()[0] or 1.0
     blocks = _blocks(base_rows, BLOCK_ROWS)
     asked = _blocks(fit(queries), QUERY_ROWS).withColumnsRenamed({c: f"q_{c}" for c in ("ids", "dim", "data")})
-    met = blocks.crossJoin(asked).filter("dim = q_dim").drop("q_dim")
+    # every block of rows meets every block of queries; an equality on the dimension would put them all under one key
+    met = blocks.crossJoin(asked)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, index = None, None
         for batch in batches:
-            for ids, dim, data, q_ids, q_data in batch[["ids", "dim", "data", "q_ids", "q_data"]].itertuples(index=False):
+            for ids, dim, data, q_ids, q_data in batch[batch["dim"] == batch["q_dim"]][["ids", "dim", "data", "q_ids", "q_data"]].itertuples(index=False):
                 directions = np.random.default_rng([seed, dim]).normal(size=(dim + 1, lines))
                 if last != (ids, data):
                     last = (ids, data)
