@@ -50,6 +50,8 @@ RUN_BYTES = 24_000_000
 HELD = 400_000
 #: Different entries up to which a block is settled in its task; larger ones go by grouped hashes.
 SMALL_BLOCK = 2_000
+#: Rows that a merging task puts out at once.
+ROWS = 100_000
 #: Documents sampled for range boundaries; they only balance the ranges.
 SAMPLED = 2_000
 U64 = np.uint64
@@ -184,37 +186,79 @@ class LoserTree:
 _PLACE = np.dtype([("doc", "<i8"), ("at", "<i4"), ("first", "<i4"), ("count", "<i4")])
 
 
-def _settle(entries: list[tuple[bytes, np.ndarray]], length: int) -> tuple[list, list]:
-    """One block: (doc, from, to) rows of repeats, and (hash, doc, start) rows left to the cluster."""
+def _later(places: np.ndarray, length: int) -> tuple[np.void, list]:
+    """The first place of equal entries, and (doc, from, to) rows of the others."""
+    places = np.sort(places, order=["doc", "at"])
+    lead, later = places[0], places[1:]
+    later = later[(later["doc"] != lead["doc"]) | (later["at"] != lead["at"])]
+    return lead, list(zip(later["doc"].tolist(), later["first"].tolist(), (later["first"] + later["count"] - 1 + length).tolist(), strict=True))
+
+
+def _windows(key: bytes, lead: np.void, length: int) -> Iterator[tuple[bytes, tuple[int, int]]]:
+    """The strings over an anchor with their places."""
+    doc, at, first, count = (int(lead[f]) for f in ("doc", "at", "first", "count"))
+    right = first + count - 1 + length - at
+    whole = key[right:-4] + key[:right]
+    for i in range(count):
+        yield whole[i : i + length], (doc, first + i)
+
+
+def _settle(entries: list[tuple[bytes, np.ndarray]], length: int) -> list:
+    """(doc, from, to, null) rows of the repeats of a small block."""
     found: list[tuple[int, int, int]] = []
     firsts = []
     for key, places in entries:
-        places = np.sort(places, order=["doc", "at"])
-        lead = places[0]
-        later = places[1:]
-        later = later[(later["doc"] != lead["doc"]) | (later["at"] != lead["at"])]
-        found += zip(later["doc"].tolist(), later["first"].tolist(), (later["first"] + later["count"] - 1 + length).tolist(), strict=True)
+        lead, later = _later(places, length)
+        found += later
         firsts.append((key, lead))
-    if len(firsts) == 1:
-        return found, []
-    open_rows = []
-    owner: dict[bytes, tuple[int, int]] = {}
-    windows = []
-    for key, lead in firsts:
-        doc, at, first, count = (int(lead[f]) for f in ("doc", "at", "first", "count"))
-        right = first + count - 1 + length - at
-        whole = key[right:-4] + key[:right]
-        for i in range(count):
-            text = whole[i : i + length]
-            place = (doc, first + i)
-            if len(firsts) <= SMALL_BLOCK:
-                windows.append((text, place))
-                if text not in owner or place < owner[text]:
-                    owner[text] = place
-            else:
-                open_rows.append((hashlib.blake2b(text, digest_size=16).digest(), *place))
-    found += [(p[0], p[1], p[1] + length) for t, p in windows if owner[t] != p]
-    return found, open_rows
+    if len(firsts) > 1:
+        owner: dict[bytes, tuple[int, int]] = {}
+        windows = [w for key, lead in firsts for w in _windows(key, lead, length)]
+        for text, place in windows:
+            if text not in owner or place < owner[text]:
+                owner[text] = place
+        found += [(p[0], p[1], p[1] + length) for t, p in windows if owner[t] != p]
+    return [(*row, None) for row in found]
+
+
+def _open(key: bytes, places: np.ndarray, length: int) -> list:
+    """Rows of one entry of a large block: its repeats, and its strings' hashes left to the cluster."""
+    lead, later = _later(places, length)
+    rows = [(*row, None) for row in later]
+    return rows + [(d, s, s + length, hashlib.blake2b(t, digest_size=16).digest()) for t, (d, s) in _windows(key, lead, length)]
+
+
+def settled(merged: Iterator[tuple[bytes, int, bytes]], length: int, seed: int) -> Iterator[list]:
+    """Batches of (doc, from, to, hash) rows of merged suffixes. No more than ``SMALL_BLOCK`` different
+    entries of a block are held: a block that has more is put out entry by entry from there on."""
+    out: list[tuple] = []
+    block: list[tuple[bytes, np.ndarray]] = []
+    large = False
+    for key, shared, raw in merged:
+        places = np.frombuffer(raw, _PLACE)
+        if block and shared >= seed:
+            if shared == len(key) == len(block[-1][0]):
+                block[-1] = (key, np.concatenate((block[-1][1], places)))
+                continue
+            if large or len(block) >= SMALL_BLOCK:
+                large = True
+                for entry in block:
+                    out += _open(*entry, length)
+                    if len(out) >= ROWS:
+                        yield out
+                        out = []
+                block = []
+        elif block:
+            out += _open(*block[0], length) if large else _settle(block, length)
+            block, large = [], False
+            if len(out) >= ROWS:
+                yield out
+                out = []
+        block.append((key, places))
+    if block:
+        out += _open(*block[0], length) if large else _settle(block, length)
+    if out:
+        yield out
 
 
 def _boundaries(docs: DataFrame, ranges: int, length: int, seed: int) -> list[bytes]:
@@ -329,30 +373,10 @@ def repeats(docs: DataFrame, ranges: int, length: int = LENGTH, seed: int = SEED
                 pieces.setdefault(r, []).append(block)
             if not coded.all():
                 yield batch.loc[~coded, ["doc", "start", "end"]].astype({"doc": "int64", "start": "int32", "end": "int32"}).assign(h=None)
-        out: list[tuple] = []
-
-        def rows() -> pd.DataFrame:
-            return pd.DataFrame(out, columns=["doc", "start", "end", "h"]).astype({"doc": "int64", "start": "int32", "end": "int32"})
-
         for r in sorted(pieces):
-            block: list[tuple[bytes, np.ndarray]] = []
-            for key, shared, raw in LoserTree([front_decode(b) for b in pieces.pop(r)]):
-                places = np.frombuffer(raw, _PLACE)
-                if block and shared >= seed:
-                    if shared == len(key) == len(block[-1][0]):
-                        block[-1] = (key, np.concatenate((block[-1][1], places)))
-                        continue
-                elif block:
-                    _emit(block, out, length)
-                    block = []
-                    if len(out) > 100_000:
-                        yield rows()
-                        out = []
-                block.append((key, places))
-            if block:
-                _emit(block, out, length)
-        if out:
-            yield rows()
+            for out in settled(LoserTree([front_decode(b) for b in pieces.pop(r)]), length, seed):
+                rows = pd.DataFrame(out, columns=["doc", "start", "end", "h"])
+                yield rows.astype({"doc": "int64", "start": "int32", "end": "int32"})
 
     merged = stored(blocks.mapInPandas(merge, "doc bigint, start int, end int, h binary"), "suffixes")
     left = merged.filter("h is not null")
@@ -362,14 +386,6 @@ def repeats(docs: DataFrame, ranges: int, length: int = LENGTH, seed: int = SEED
     return spans.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
-def _emit(block: list, out: list, length: int) -> None:
-    if len(block) == 1 and len(block[0][1]) == 1:
-        return
-    found, open_rows = _settle(block, length)
-    out += [(d, a, b, None) for d, a, b in found]
-    out += [(d, s, s + length, h) for h, d, s in open_rows]
-
-
 def find(docs: DataFrame, finish: Callable, ddl: str, length: int = LENGTH, seed: int = SEED,
          text: str = "text", doc_id: str = "doc_id", ranges: int | None = None) -> DataFrame:
     """``docs`` without its text, with what ``finish(bytes, spans)`` makes of each text and its repeats:
