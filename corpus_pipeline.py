@@ -14,8 +14,8 @@ from specdrift.llm.io import stored, table, tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep."""
-    return quality_rules.apply_rules(docs).filter("kept").select(*docs.columns)
+    """Documents that the rules keep; short texts and other languages need no stop words."""
+    return quality_rules.apply_rules(docs, table=quality_rules.KEEPING).filter("kept").select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ their own length.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,11 +30,13 @@ STOP_FORMS = sorted({form + end for w in STOP_WORDS for form in (w, w.capitalize
 
 @dataclass(frozen=True)
 class Rule:
-    """A document is rejected when ``measure`` is below ``least`` or above ``most``."""
+    """A document is rejected when ``measure`` is below ``least`` or above ``most``. The rule is for rows
+    where the SQL condition ``only`` holds, or for all."""
 
     measure: str
     least: float | None = None
     most: float | None = None
+    only: str | None = None
 
 
 #: Base rules: too few words, or too many words in repeated windows. Percentages avoid division.
@@ -47,6 +49,12 @@ TABLE = (
     Rule("pct_stop_words", least=2.0),
     Rule("pct_dup_lines", most=50.0),
 )
+#: The table where clean texts must stay: a share of stop words is only expected of 50 words or more, in
+#: a language of the list (or an unknown one).
+KEEPING = tuple(
+    replace(r, only="n_words >= 50 AND coalesce(lower(left(lang, 2)) IN ('en', 'de', 'fr', 'es'), true)") if r.measure == "pct_stop_words" else r
+    for r in TABLE
+)
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_shouted", "n_stop")
 
 
@@ -136,7 +144,8 @@ def compile_rules(rules: Sequence[Rule]) -> Column:
     """One boolean expression: true where any rule of the table is violated."""
     bad = F.lit(False)
     for rule in rules:
-        bad = bad | _violates(rule)
+        violated = _violates(rule)
+        bad = bad | (violated if rule.only is None else F.expr(rule.only) & violated)
     return bad
 
 
