@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -24,13 +24,14 @@ _TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
 def named_texts(docs: DataFrame, text: str, doc_id: str, made: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rest struct, doc, tag, text) of rows with a doc_id, and of those without; ``rest`` holds the
-    columns that pass through."""
+    """(rest struct, doc, tag, __body) of rows with a doc_id, and of those without; ``rest`` holds the
+    columns that pass through. All have new names: an alias that the optimizer drops in one place only
+    would keep it from reusing an exchange."""
     rest = [c for c in docs.columns if c not in (text, *made)]
     body = F.col(f"`{text}`").cast("string")
     named = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in rest], F.lit(None).cast("void").cast("int").alias("__none")).alias("rest"),
-        F.col(f"`{doc_id}`").cast("bigint").alias("doc"), F.hash(body).alias("tag"), body.alias("text"),
+        F.col(f"`{doc_id}`").cast("bigint").alias("doc"), F.hash(body).alias("tag"), body.alias("__body"),
     )
     return named.filter("doc is not null"), named.filter("doc is null")
 
@@ -49,33 +50,34 @@ def rows_batch(doc, tag, start, end, h=None, g=None, sure=None) -> pa.RecordBatc
     )
 
 
-def repeated(rows: DataFrame, place: Column) -> DataFrame:
-    """(doc, spans array<struct<tag,start,end>>): the sure rows, and those whose hashes another row of
-    lesser ``place`` has.
+def repeated(rows: DataFrame, *place: str) -> DataFrame:
+    """(doc, spans array<struct<tag,start,end>>): the sure rows, and those whose hashes another row has that
+    comes before in the order of the columns ``place``.
 
     Tasks have combined what they hold before: of equal runs in one batch only the first still has
     its hash in common with others, so a run that a third of all documents hold has a row for each
     batch here, not for each document.
     """
-    keys = rows.select("*", place.alias("place")).selectExpr("doc", "tag", "start", "end", "sure or place > min(place) OVER (PARTITION BY h, g) AS gone")
-    return keys.filter("gone").groupBy("doc").agg(F.collect_list(F.struct("tag", "start", "end")).alias("spans"))
+    rank = F.rank().over(Window.partitionBy("h", "g").orderBy(*place))
+    gone = rows.select("doc", "tag", "start", "end", (F.col("sure") | (rank > 1)).alias("gone")).filter("gone")
+    return gone.groupBy("doc").agg(F.collect_list(F.struct("tag", "start", "end")).alias("spans"))
 
 
 def applied(texts: DataFrame, without: DataFrame, spans: DataFrame, finish: Callable, ddl: str) -> DataFrame:
     """The passed-through columns and those that ``finish(bytes, spans)`` makes of each text; ``spans`` is
     the flat array [from, to, ...] of its maximal runs."""
     added = StructType.fromDDL(ddl)
-    both = texts.join(spans, "doc", "left").select("rest", "tag", "text", "spans").unionByName(
-        without.select("rest", "tag", "text", F.lit(None).cast("array<struct<tag:int,start:int,end:int>>").alias("spans"))
+    both = texts.join(spans, "doc", "left").select("rest", "tag", "__body", "spans").unionByName(
+        without.select("rest", "tag", "__body", F.lit(None).cast("array<struct<tag:int,start:int,end:int>>").alias("spans"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, "text", 16_000_000):
+        for batch in sliced(batches, "__body", 16_000_000):
             out = []
             marks = batch.column("spans")
             flat, edges = marks.flatten(), np.concatenate(([0], np.cumsum(marks.value_lengths().fill_null(0))))
             of, start, end = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            for t, tag, a, b in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("tag").to_pylist(), edges[:-1], edges[1:], strict=True):
+            for t, tag, a, b in zip(batch.column("__body").cast(pa.binary()).to_pylist(), batch.column("tag").to_pylist(), edges[:-1], edges[1:], strict=True):
                 mine = slice(a, b) if (of[a:b] == tag).all() else a + np.flatnonzero(of[a:b] == tag)
                 out.append(finish(t, united(start[mine], end[mine])))
             columns = zip(*out, strict=True)
@@ -98,6 +100,16 @@ def united(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return np.stack((a[lead], reach[last]), axis=1).ravel()
 
 
+def sure_runs(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """Sure rows of runs in any order; neighbouring runs of a text become one."""
+    order = np.lexsort((start, tag, doc))
+    doc, tag, start, end = doc[order], tag[order], start[order], end[order]
+    new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])))
+    text, start, end = joined_runs(np.cumsum(new) - 1, start, end)
+    at = np.flatnonzero(new)[text]
+    return rows_batch(doc[at], tag[at], start, end)
+
+
 def joined_runs(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, start, end) with runs of a text that touch or overlap united, for runs sorted by text and start."""
     if not len(text):

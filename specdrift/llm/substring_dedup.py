@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specdrift.llm.spans import ROW_DDL, applied, joined_runs, named_texts, repeated, rows_batch
+from specdrift.llm.spans import ROW_DDL, applied, joined_runs, named_texts, repeated, rows_batch, sure_runs
 from specdrift.llm.textnum import anchors, flat_texts, inside, mix64, rolling, sliced, word_bounds, word_hashes
 
 LENGTH = 13
@@ -90,8 +90,8 @@ def _index(docs: DataFrame, length: int, seed: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in sliced(batches, "text"):
-            a = _Anchors(batch.column("text"), length, seed)
+        for batch in sliced(batches, "__body"):
+            a = _Anchors(batch.column("__body"), length, seed)
             if len(a.at):
                 held.append((a.key, a.reach, batch.column("doc").to_numpy()[a.row], a.at))
                 size += len(a.at)
@@ -121,21 +121,24 @@ def _known(index: DataFrame) -> DataFrame:
 
 
 def _occurrences(texts: DataFrame, length: int, seed: int) -> DataFrame:
-    """The runs of marked anchors (rest, doc, tag, text, known): reaches that were seen before, and single
+    """The runs of marked anchors (rest, doc, tag, __body, known): reaches that were seen before, and single
     windows of the others."""
 
-    def flush(held: list) -> pa.RecordBatch:
+    def flush(held: list) -> Iterator[pa.RecordBatch]:
         doc, tag, start, h, g = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.lexsort((doc, g, h))
         doc, tag, start, h, g = doc[order], tag[order], start[order], h[order], g[order]
         lead = np.concatenate(([True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])))
         sure = doc > doc[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
-        return rows_batch(doc, tag, start, start + length, h, g, sure)
+        if sure.any():
+            yield sure_runs(doc[sure], tag[sure], start[sure], start[sure] + length)
+        left = ~sure
+        yield rows_batch(doc[left], tag[left], start[left], start[left] + length, h[left], g[left], np.zeros(left.sum(), bool))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in sliced(batches, "text"):
-            a = _Anchors(batch.column("text"), length, seed)
+        for batch in sliced(batches, "__body"):
+            a = _Anchors(batch.column("__body"), length, seed)
             known = batch.column("known")
             marks, row = known.flatten().to_numpy(), np.repeat(np.arange(len(known)), known.value_lengths())
             order = np.lexsort((marks, row))
@@ -165,10 +168,10 @@ def _occurrences(texts: DataFrame, length: int, seed: int) -> DataFrame:
                 ))
                 size += len(text)
             if size >= HELD:
-                yield flush(held)
+                yield from flush(held)
                 held, size = [], 0
         if held:
-            yield flush(held)
+            yield from flush(held)
 
     return texts.mapInArrow(run, ROW_DDL)
 
@@ -181,10 +184,10 @@ def find(docs: DataFrame, finish: Callable, ddl: str, length: int = LENGTH, seed
     repeats and returns a tuple of the columns named in ``ddl`` (bigint, int or string).
     """
     texts, without = named_texts(docs, text, doc_id, [f.split()[0].strip("`") for f in ddl.split(",")])
-    known = _known(_index(texts.select("doc", "text"), length, seed))
+    known = _known(_index(texts.select("doc", "__body"), length, seed))
     # all columns go along, so that Spark can reuse the exchange of the texts
-    met = texts.join(known, "doc").select("rest", "doc", "tag", "text", "known")
-    return applied(texts, without, repeated(_occurrences(met, length, seed), F.col("doc")), finish, ddl)
+    met = texts.join(known, "doc").select("rest", "doc", "tag", "__body", "known")
+    return applied(texts, without, repeated(_occurrences(met, length, seed), "doc"), finish, ddl)
 
 
 def digest(text: bytes | None, spans: np.ndarray) -> tuple[int, int, str]:
