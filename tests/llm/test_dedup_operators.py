@@ -50,12 +50,11 @@ def test_substrings_against_brute_force(spark, seed):
         assert (got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) == (len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest())
 
 
-@pytest.mark.parametrize(("seed", "small"), [(1, 2000), (2, 1), (3, 2000)])
-def test_suffixes_against_brute_force(spark, seed, small, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "SMALL_BLOCK", small)
+@pytest.mark.parametrize(("seed", "chunk"), [(1, 2_000_000), (2, 1), (3, 2_000_000), (3, 1000)])
+def test_suffixes_against_brute_force(spark, seed, chunk):
     rows = _corpus(seed)
     docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, n_spans string").repartition(3)
-    got = suffix_dedup.find(docs, suffix_dedup.digest, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    got = suffix_dedup.find(docs, suffix_dedup.digest, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", chunk=chunk)
     got = {r["doc_id"]: r for r in got.collect()}
     seen = set()
     for i, t in rows:
