@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specdrift.llm.io import stored
+from specdrift.plans.shared import discard, stored
 
-MAX_ROUNDS = 100
-#: Edge tables of up to so many rows are worked on in one partition, without shuffles.
-FEW = 200_000
+#: Edges that one task takes; tables of fewer are worked on without shuffles.
+EDGES_A_TASK = 200_000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -17,16 +16,16 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds: each points neighbourhoods at their least member,
     so the number of edges never grows beyond the input's and hub nodes only cost a grouped minimum.
-    Every round is written to the shared folder.
+    Every round is written to the shared folder, and the one before deleted. Nulls and loops link
+    nothing; repeated edges count once; no edge gives no row.
     """
     one = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     links, digest = stored(one, "links"), None
-    few = links.limit(FEW + 1).count() <= FEW
-    for _ in range(MAX_ROUNDS):
+    tasks = 1 + links.count() // EDGES_A_TASK
+    while True:
         # large star: each node's larger neighbours go to its least neighbour (or itself)
-        links = links.coalesce(1) if few else links
-        both = links.union(links.select("b", "a"))
-        both = both.coalesce(1) if few else both
+        near = links.coalesce(tasks)
+        both = near.union(near.select("b", "a")).coalesce(tasks)
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).withColumnRenamed("a", "v")
         large = (
             both.join(least, both["a"] == least["v"])
@@ -42,12 +41,11 @@ def components(edges: DataFrame) -> DataFrame:
             .union(lower.select("v", "m"))
             .distinct()
         )
-        links = stored(small, "links")
+        before, links = links, stored(small, "links")
+        discard(before)
         # equal tables have equal digests; a round that changes nothing is the last
         digest, last = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()), digest
         if digest == last:
             break
-    else:
-        raise RuntimeError(f"no fixed point after {MAX_ROUNDS} rounds")
     found = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return found.union(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -1,38 +1,17 @@
-"""Reading the given tables and finding the shared scratch folder."""
+"""Reading the given tables and what is beside them."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
+from specdrift.plans.shared import discard, shared_dir, stored  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder path under spark.checkpoint.dir; only where that is unset (local tests), under
-    this machine's temp folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if spark.sparkContext.master.startswith("local"):
-            root = tempfile.mkdtemp(prefix="specdrift-")
-        else:
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once as Parquet to the shared folder and read again: the plan starts afresh
-    from files that survive lost executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def extended(schema: StructType, ddl: str) -> StructType:
     """A new schema: the fields of ``schema`` and then those of ``ddl``."""
     return StructType([*schema.fields, *StructType.fromDDL(ddl).fields])

@@ -11,17 +11,24 @@ which is plain Jaccard when weights are equal. A shingle stops as soon as its ne
 than the text's latest register, so long texts cost little more than one arrival for each shingle.
 
 Registers are grouped into bands; texts that agree in a band are candidates. Copies are collapsed
-first, so a group of copies is one member of its buckets. Members of a bucket are compared with a
-pivot, the member with the largest buckets over all bands. Pairs whose registers agree too rarely for
-the threshold (by 4 standard deviations) are not formed; the others are verified exactly on their
-shingles. Buckets whose members are not all in one component then get more pivots, sixteen times as many
-in each round, until a bucket is one component or each member has been compared with all members
-outside its component: so no link between components is lost, and a large group of near copies
-costs one comparison for each member. There is no cap on buckets or partners.
+first, so a group of copies is one member of its buckets. All members of a bucket are compared with a
+pivot, the member with the largest buckets over all bands. Where that leaves a bucket in several
+components, the members outside the one with most members are compared with about 16 of its members,
+those still outside with about 256, and what is then left with every member of another component. So
+every pair of a bucket that is not in one component is compared, and a large group of near copies
+costs a few comparisons for each member; only members that stay outside meet all others. There is no
+cap on buckets or partners.
+
+Pairs whose registers agree too rarely for the threshold are not formed; the others are verified
+exactly on their shingles. Two things can lose the link of a pair at the threshold: it meets in no band
+(1.3e-5), or its registers agree in 4 standard deviations too few (3e-5). More similar pairs are lost
+less often.
 
 Defined results: texts without a word (null, empty, blank) are singletons. Classes are connected
-components of verified links and exact copies; ``class_id`` is the least doc_id of the class. Rows
-of null doc_id are left out of links and have a null class. Repeated rows are copies.
+components of verified links and exact copies; ``class_id`` is the least doc_id of the class. Rows of
+null doc_id link to nothing, and each has a row of nulls in the result. Repeated rows are copies. Where
+rows of one doc_id have different texts, the document takes part with each of them and is in the least
+of their classes. An empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -30,13 +37,13 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from specdrift.llm.graph import components
-from specdrift.llm.io import stored
-from specdrift.llm.textnum import mix64, rolling, utf8, word_bounds, word_hashes
+from specdrift.llm.io import discard, stored
+from specdrift.llm.textnum import flat_texts, inside, mix64, rolling, sliced, word_bounds, word_hashes
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -44,18 +51,40 @@ SIMILARITY = 0.8
 #: texts apart that only share a very common passage.
 BANDS, ROWS = 48, 7
 U64 = np.uint64
-#: Shingles worked on at a time.
-CHUNK = 400_000
+#: Members of a bucket's main component, about, that those outside are compared with before all.
+SOME = (16, 256)
+#: Arrivals that one step over few shingles makes at once.
+AT_ONCE = 65_536
+_NEVER = U64(0xFFFFFFFFFFFFFFFF)
 
 
-def shingles(text: str | None, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted 64-bit hashes of the distinct shingles, and their counts."""
-    data = np.frombuffer(utf8(text), np.uint8)
+def shingle_sets(texts: pa.Array, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingles of a column of texts: where each text's begin (and the last ends), their 64-bit
+    hashes, in order within a text, and their counts."""
+    data, begins = flat_texts(texts)
     starts, ends = word_bounds(data)
-    if not len(starts):
-        return np.empty(0, U64), np.empty(0, np.int64)
     words = word_hashes(data, starts, ends)
-    return np.unique(rolling(words, min(k, len(words))), return_counts=True)
+    begins = np.searchsorted(starts, begins)
+    size = np.diff(begins)
+    found, rows = [rolling(words, k)[inside(begins, k)]], [np.repeat(np.arange(len(size)), np.maximum(size - k + 1, 0))]
+    for n in range(1, k):
+        if (short := np.flatnonzero(size == n)).size:
+            found.append(rolling(words, n)[begins[short]])
+            rows.append(short)
+    row, item = np.concatenate(rows), np.concatenate(found)
+    if len(rows) > 1:
+        order = np.argsort(row, kind="stable")
+        row, item = row[order], item[order]
+    edges = np.searchsorted(row, np.arange(len(size) + 1)).tolist()
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        item[a:b].sort()
+    lead = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (row[1:] != row[:-1])))) if len(item) else np.empty(0, np.int64)
+    return np.searchsorted(row[lead], np.arange(len(size) + 1)), item[lead], np.diff(np.concatenate((lead, [len(item)])))
+
+
+def shingles(text: str | None, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted 64-bit hashes of the distinct shingles, and their counts."""
+    return shingle_sets(pa.array([text], pa.string()), k)[1:]
 
 
 def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -87,30 +116,41 @@ def _uniform(h: np.ndarray) -> np.ndarray:
 
 def signatures(sets: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
     """[text, register] shingle hashes of the earliest arrivals; texts without shingles have zeros."""
-    n = len(sets)
-    best, who = np.full((n, m), np.inf), np.zeros((n, m), U64)
-    if not n:
-        return who
-    row = np.repeat(np.arange(n), [len(h) for h, _ in sets])
-    item = np.concatenate([h for h, _ in sets])
-    rate = np.concatenate([w for _, w in sets]).astype(np.float64)
-    time = np.zeros(len(item))
+    begins = np.concatenate(([0], np.cumsum([len(h) for h, _ in sets], dtype=np.int64)))
+    item = np.concatenate([np.empty(0, U64), *[h for h, _ in sets]])
+    return _registers(begins, item, np.concatenate([np.empty(0), *[w for _, w in sets]]), m)
+
+
+def _registers(begins: np.ndarray, item: np.ndarray, weight: np.ndarray, m: int) -> np.ndarray:
+    """``signatures`` of flat sets. A register holds its earliest arrival as one number: the time's 32 bits
+    (positive floats sort as integers), then the arrival's place in ``item``."""
+    n = len(begins) - 1
+    best = np.full((n, m), _NEVER)
+    flat = best.reshape(-1)
+    at = np.arange(len(item), dtype=np.int64)
+    row = np.repeat(np.arange(n), np.diff(begins))
+    rate, time = 1.0 / weight, np.zeros(len(item))
     turn = 0
-    while len(item):
-        turn += 1
-        r = mix64(item + U64(turn * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
-        time = time - np.log(_uniform(r)) / rate
-        cell = row * m + (mix64(r ^ U64(0x5851F42D4C957F2D)) % U64(m)).astype(np.int64)
-        order = np.lexsort((time, cell))
-        cells = cell[order]
-        lead = np.concatenate(([True], cells[1:] != cells[:-1]))
-        at, by = cells[lead], order[lead]
-        flat, own = best.reshape(-1), who.reshape(-1)
-        earlier = time[by] < flat[at]
-        at, by = at[earlier], by[earlier]
-        flat[at], own[at] = time[by], item[by]
-        alive = time < best.max(axis=1)[row]
-        row, item, rate, time = row[alive], item[alive], rate[alive], time[alive]
+    while len(at):
+        # the fewer shingles go on, the more turns are taken at once
+        turns = max(1, min(256, AT_ONCE // len(at)))
+        steps = np.arange(turn + 1, turn + 1 + turns, dtype=U64) * U64(0x9E3779B97F4A7C15)
+        turn += turns
+        r = mix64(item[at][:, None] + steps)
+        times = np.log(_uniform(r))
+        times *= -rate[at][:, None]
+        times[:, 0] += time
+        np.cumsum(times, axis=1, out=times)
+        register = ((r * U64(0x5851F42D4C957F2D) >> U64(32)) * U64(m) >> U64(32)).astype(np.int64)
+        bits = times.astype(np.float32).view(np.uint32).astype(U64) << U64(32)
+        np.minimum.at(flat, (register + (row * m)[:, None]).ravel(), (bits | at.astype(U64)[:, None]).ravel())
+        lead = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        latest = best[row[lead]].max(axis=1)
+        alive = bits[:, -1] <= np.repeat(latest, np.diff(np.concatenate((lead, [len(row)]))))
+        at, row, time = at[alive], row[alive], times[alive, -1]
+    who = np.zeros((n, m), U64)
+    some = np.diff(begins) > 0
+    who[some] = item[(best[some] & U64(0xFFFFFFFF)).astype(np.int64)]
     return who
 
 
@@ -142,118 +182,128 @@ def _band_rows(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sketch(docs: DataFrame, k: int, bands: int, rows: int, text: str, doc_id: str) -> DataFrame:
-    """(id, copy_key binary, bands, brief: arrays of bigint) for each row; bands are null without shingles."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            at = 0
-            while at < len(batch):
-                sets, size, first = [], 0, at
-                while at < len(batch) and size < CHUNK:
-                    sets.append(shingles(batch["t"].iloc[at], k))
-                    size += len(sets[-1][0])
-                    at += 1
-                part = batch.iloc[first:at]
-                sig = signatures(sets, bands * rows)
-                keys, brief = _band_rows(sig, bands, rows).view(np.int64), _brief(sig)
-                yield pd.DataFrame({
-                    "id": part["id"].to_numpy(),
-                    "copy_key": [hashlib.sha256(utf8(t)).digest() for t in part["t"]],
-                    "bands": [b if len(s[0]) else None for b, s in zip(keys, sets, strict=True)],
-                    "brief": list(brief),
-                })
-
-    named = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("t"))
-    return named.filter("id is not null").mapInPandas(run, "id bigint, copy_key binary, bands array<bigint>, brief array<bigint>")
+    """(id, copy_key binary, bands, brief: arrays of bigint) for each row with a doc_id; bands are null
+    without shingles."""
+
+    def lists(values: np.ndarray, mask: np.ndarray | None = None) -> pa.Array:
+        edges = pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32())
+        return pa.ListArray.from_arrays(edges, pa.array(values.reshape(-1)), mask=None if mask is None else pa.array(mask))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "t"):
+            begins, item, weight = shingle_sets(batch.column("t"), k)
+            sig = _registers(begins, item, weight, bands * rows)
+            keys = [hashlib.sha256(t or b"").digest() for t in batch.column("t").cast(pa.binary()).to_pylist()]
+            columns = [batch.column("id"), pa.array(keys, pa.binary()), lists(_band_rows(sig, bands, rows).view(np.int64), np.diff(begins) == 0), lists(_brief(sig))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "copy_key", "bands", "brief"])
+
+    named = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("t"))
+    return named.filter("id is not null").mapInArrow(run, "id bigint, copy_key binary, bands array<bigint>, brief array<bigint>")
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts, rows (id, t), have J of ``least`` or more."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, mine = None, None
-        for batch in batches:
-            a, b = [], []
-            for x, y, tx, ty in zip(batch["a"], batch["b"], batch["ta"], batch["tb"], strict=True):
-                if x != last:
-                    last, mine = x, shingles(tx, k)
-                if probability_jaccard(mine, shingles(ty, k)) >= least:
-                    a.append(x)
-                    b.append(y)
-            yield pd.DataFrame({"a": a, "b": b}, dtype="int64")
+    """The pairs (a, b, ca, cb) whose texts, rows (id, t), have J of ``least`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "tb", 4_000_000):
+            a = batch.column("a").to_numpy()
+            lead = np.concatenate(([True], a[1:] != a[:-1]))
+            sets = [shingle_sets(t, k) for t in (batch.column("ta").filter(pa.array(lead)), batch.column("tb"))]
+            (fa, ia, wa), (fb, ib, wb) = sets
+            keep = [
+                probability_jaccard((ia[fa[x] : fa[x + 1]], wa[fa[x] : fa[x + 1]]), (ib[fb[y] : fb[y + 1]], wb[fb[y] : fb[y + 1]])) >= least
+                for y, x in enumerate((np.cumsum(lead) - 1).tolist())
+            ]
+            yield batch.select(["a", "b", "ca", "cb"]).filter(pa.array(keep, pa.bool_()))
 
     with_b = pairs.join(texts.withColumnsRenamed({"id": "b", "t": "tb"}), "b")
     both = with_b.join(texts.withColumnsRenamed({"id": "a", "t": "ta"}), "a")
-    return both.select("a", "b", "ta", "tb").mapInPandas(run, "a bigint, b bigint")
+    return both.select("a", "b", "ca", "cb", "ta", "tb").mapInArrow(run, "a bigint, b bigint, ca bigint, cb bigint")
+
+
+def _merged(comps: DataFrame | None, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``comps`` (node, root) after the links between components (ca, cb), and the new root of each of these."""
+    new = stored(components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "roots")
+    if comps is None:
+        return new, new
+    moved = new.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    old = comps.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return stored(old.union(new.join(comps.select("node"), "node", "left_anti")), "components"), new
+
+
+def _open(members: DataFrame) -> DataFrame:
+    """Members (bucket, rep, comp, bands, brief) of buckets with more than one component, with ``main``, that
+    of most members, and the bucket's size ``n``."""
+    parts = members.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
+    state = parts.groupBy("bucket").agg(F.max(F.struct("size", (-F.col("comp")).alias("neg"))).alias("m"), F.count("*").alias("parts"), F.sum("size").alias("n"))
+    more = state.filter("parts > 1").select("bucket", (-F.col("m.neg")).alias("main"), "n")
+    return stored(members.join(more, "bucket").select("bucket", "rep", "comp", "main", "n", "bands", "brief"), "open")
 
 
 def classes(
     docs: DataFrame, k: int = SHINGLE, least: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS,
     text: str = "text", doc_id: str = "doc_id",
 ) -> DataFrame:
-    """(doc_id bigint, class_id bigint): one row for each distinct non-null doc_id."""
+    """(doc_id bigint, class_id bigint): one row for each distinct doc_id, and one for each row without."""
     sketches = stored(sketch(docs, k, bands, rows, text, doc_id), "sketch")
     firsts = sketches.filter("bands is not null").groupBy("copy_key").agg(F.min("id").alias("rep"))
-    reps = sketches.join(firsts.withColumnRenamed("copy_key", "ck"), F.col("id") == F.col("rep"))
-    buckets = reps.filter("copy_key = ck").select("rep", F.explode("bands").alias("bucket")).distinct()
+    reps = sketches.join(firsts.withColumnRenamed("copy_key", "ck"), F.col("id") == F.col("rep")).filter("copy_key = ck")
+    buckets = reps.select("rep", F.explode("bands").alias("bucket")).distinct()
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     shared = stored(buckets.join(sizes, "bucket"), "shared")
     # degree: how many members the buckets of a text have
     degree = shared.groupBy("rep").agg(F.sum("n").alias("degree"))
-    texts = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("t"))
-    texts = stored(texts.join(degree.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]), "texts")
-    briefs = reps.filter("copy_key = ck").select("rep", "brief").dropDuplicates(["rep"]).join(degree, "rep")
-    members = shared.join(briefs, "rep").select("bucket", "rep", "degree", F.col("rep").alias("comp"), F.lit(False).alias("used"), "brief")
+    texts = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("t"))
+    texts = stored(texts.join(degree.select(F.col("rep").alias("id")), "id", "left_semi").distinct(), "texts")
+    briefs = stored(reps.select("rep", "bands", "brief").join(degree, "rep"), "briefs")
     # 4 standard deviations below the threshold, so that a pair at it passes but for 3 in 100,000
     registers = bands * rows
     apart = int(registers * (1 - least + 4 * (least * (1 - least) / registers) ** 0.5))
-
-    tested = links = None
-    turn = 0
-    while True:
-        # round t compares every open bucket's members with its 16^t best pivots not used yet
-        once = F.lit(True)
-        if turn == 0:
-            best = members.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("rep")).alias("neg"), "brief")).alias("p"))
-            pivots = best.select("bucket", (-F.col("p.neg")).alias("pivot"), (-F.col("p.neg")).alias("pivot_comp"), F.col("p.brief").alias("pivot_brief"))
-        else:
-            rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("degree").desc(), "rep"))
-            pivots = (
-                members.filter("not used").withColumn("rank", rank).filter(F.col("rank") <= 16**turn)
-                .select("bucket", F.col("rep").alias("pivot"), F.col("comp").alias("pivot_comp"), F.col("brief").alias("pivot_brief"), F.col("bands").alias("pivot_bands"))
-            )
-            # a pair that shares several buckets is formed in the least of them
-            once = F.array_min(F.array_intersect("bands", "pivot_bands")) == F.col("bucket")
-        pairs = (
-            members.join(pivots, "bucket")
-            .filter((F.col("comp") != F.col("pivot_comp")) & once & (_differing(F.col("brief"), F.col("pivot_brief")) <= apart))
-            .select(F.greatest("pivot", "rep").alias("b"), F.least("pivot", "rep").alias("a")).distinct()
-        )
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs.select("a", "b"), "pairs")
-        found = stored(verify(pairs, texts, k, least), "found")
-        tested = pairs if tested is None else tested.union(pairs)
-        if links is None or not found.isEmpty():
-            links = found if links is None else links.union(found)
-            comps = components(links)
-        now = (
-            members.drop("comp").join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-            .join(pivots.select("bucket", F.col("pivot").alias("rep"), F.lit(True).alias("now")), ["bucket", "rep"], "left")
-            .select("bucket", "rep", "degree", F.coalesce("root", "rep").alias("comp"), (F.col("used") | F.coalesce("now", F.lit(False))).alias("used"), "brief")
-        )
-        # a bucket is done when it is one component, or when all members but one have been pivots
-        state = now.groupBy("bucket").agg(
-            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.sum((~F.col("used")).cast("int")).alias("unused")
-        )
-        going = state.filter("lo <> hi and unused > 1").select("bucket")
-        bands_of = reps.filter("copy_key = ck").select("rep", "bands").dropDuplicates(["rep"])
-        members = stored(now.join(going, "bucket", "left_semi").join(bands_of, "rep"), "open")
-        turn += 1
+    alike = _differing(F.col("brief"), F.col("p_brief")) <= apart
+
+    # every member with its bucket's pivot
+    slim = shared.join(briefs.select("rep", "degree", "brief"), "rep").select("bucket", "rep", "degree", "brief")
+    best = slim.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("rep")).alias("neg"), "brief")).alias("p"))
+    pivots = best.select("bucket", (-F.col("p.neg")).alias("pivot"), F.col("p.brief").alias("p_brief"))
+    pairs = slim.join(pivots, "bucket").filter((F.col("rep") != F.col("pivot")) & alike)
+    pairs = pairs.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
+    tested = [stored(pairs.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")), "pairs")]
+    found = stored(verify(tested[0], texts, k, least), "found")
+    comps, _ = _merged(None, found)
+    discard(found)
+    # buckets of one component need neither texts nor bands again
+    at = shared.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("comp"))
+    ends = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
+    members = _open(at.join(ends, "bucket", "left_semi").join(briefs.select("rep", "bands", "brief"), "rep"))
+    discard(shared, briefs)
+
+    # then those outside their bucket's main component: with some of its members, with more, with all others
+    for some in (*SOME, None):
         if members.isEmpty():
             break
-    by_copy = firsts.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "copy_key", F.coalesce("root", "rep").alias("class_id")
-    )
-    joined = sketches.select("id", "copy_key").join(by_copy, "copy_key", "left")
-    return joined.groupBy(F.col("id").alias("doc_id")).agg(F.min(F.coalesce("class_id", "id")).alias("class_id"))
+        p = members if some is None else members.filter(
+            (F.col("comp") == F.col("main")) & (F.pmod(F.xxhash64("rep", "bucket"), F.greatest(F.lit(1), F.floor(F.col("n") / some))) == 0)
+        )
+        p = p.select("bucket", *[F.col(c).alias(f"p_{c}") for c in ("rep", "comp", "bands", "brief")])
+        # a pair that shares several buckets is formed in the least of them
+        once = F.array_min(F.array_intersect("bands", "p_bands")) == F.col("bucket")
+        outside = members.filter("comp <> main").select("bucket", "rep", "comp", "bands", "brief")
+        pairs = outside.join(p, "bucket").filter((F.col("comp") != F.col("p_comp")) & alike & once)
+        mine = F.col("rep") < F.col("p_rep")
+        either = lambda x, y: F.when(mine, F.col(x)).otherwise(F.col(y))
+        pairs = pairs.select(either("rep", "p_rep").alias("a"), either("p_rep", "rep").alias("b"), either("comp", "p_comp").alias("ca"), either("p_comp", "comp").alias("cb")).distinct()
+        for before in tested:
+            pairs = pairs.join(before.select("a", "b"), ["a", "b"], "left_anti")
+        tested.append(stored(pairs.select("a", "b", "ca", "cb"), "pairs"))
+        found = stored(verify(tested[-1], texts, k, least), "found")
+        before, (comps, new) = comps, _merged(comps, found)
+        moved = members.join(new.select(F.col("node").alias("comp"), F.col("root").alias("to")), "comp", "left")
+        last, members = members, _open(moved.select("bucket", "rep", F.coalesce("to", "comp").alias("comp"), "bands", "brief"))
+        discard(before, found, last)
+    discard(texts, members, *tested)
+
+    by_copy = firsts.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("copy_key", F.coalesce("root", "rep").alias("class_id"))
+    own = sketches.select("id", "copy_key").join(by_copy, "copy_key", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
+    result = own.groupBy(F.col("id").alias("doc_id")).agg(F.min("class_id").alias("class_id"))
+    none = docs.filter(F.col(f"`{doc_id}`").isNull()).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("class_id"))
+    return result.union(none)
