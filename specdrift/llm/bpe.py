@@ -31,16 +31,16 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from specdrift.llm.io import extended
+from specdrift.llm.textnum import sliced, with_columns
 
 #: Fixed pattern of the byte-level pre-tokenizer.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Chunks of text, and pieces, whose ids a worker remembers before it starts afresh.
-MEMORY = 200_000
+#: Chunks of text, and pieces, in a generation of a worker's memory.
+MEMORY = 250_000
 _NEVER = 1 << 60
 
 
@@ -53,6 +53,29 @@ def _byte_alphabet() -> dict[str, int]:
     return table | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class _Memory:
+    """What was found for short strings. Of two generations the older one is forgotten whenever the younger
+    is full, so what keeps coming up stays, and no more than 2 * ``MEMORY`` strings are held."""
+
+    def __init__(self):
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key: str):
+        found = self.young.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self.put(key, found)
+        return found
+
+    def put(self, key: str, value) -> None:
+        if len(key) < 64:
+            if len(self.young) >= MEMORY:
+                self.old, self.young = self.young, {}
+            self.young[key] = value
+
+
 class Vocabulary:
     """Tokens, merge ranks and the tables that encoding and decoding look things up in."""
 
@@ -81,17 +104,19 @@ class Vocabulary:
         self.left_edge = [self._edge(i, made_by, 1) for i in range(size)]
         self.automaton = ahocorasick.Automaton()
         for b, i in ids.items():
-            self.automaton.add_word(b.decode("latin-1"), (i, len(b)))
+            self.automaton.add_word(b.decode("latin-1"), i)
         self.automaton.make_automaton()
         self.shorter = [next((ids[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in ids), -1) for t in self.tokens]
         self.compatible: dict[int, bool] = {}
+        self.sizes = [len(t) for t in self.tokens]
+        self.decimals = [str(i) for i in range(size)]
         self.blob = np.frombuffer(b"".join(self.tokens), np.uint8)
         self.length = np.array([len(t) for t in self.tokens], np.int64)
         self.offset = np.concatenate(([0], np.cumsum(self.length)[:-1]))
         self.splitter = regex.compile(PIECES)
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.memory: dict[str, tuple[bytes, str]] = {}  # by what follows a space
-        self.pieces: dict[str, list[int]] = {}
+        self.memory = _Memory()  # of chunks, by what follows their space
+        self.pieces = _Memory()
 
     @staticmethod
     def _edge(token: int, made_by: dict, side: int) -> list[tuple[int, int]]:
@@ -132,30 +157,36 @@ class Vocabulary:
         whole = self.ids.get(data)
         if whole is not None and self._reachable(whole):
             return [whole]
-        n = len(data)
-        longest, size = [-1] * n, [0] * n
-        for end, (token, length) in self.automaton.iter(data.decode("latin-1")):
-            start = end - length + 1
-            if length > size[start]:
-                longest[start], size[start] = token, length
+        n, sizes = len(data), self.sizes
+        longest = [-1] * n
+        for end, token in self.automaton.iter(data.decode("latin-1")):
+            longest[end + 1 - sizes[token]] = token  # ends ascend, so the last token of a start is its longest
+        compatible, shorter = self.compatible, self.shorter
         out: list[int] = []
-        dead = bytearray(n + 1)
-        at, token = 0, longest[0]
+        dead: bytearray | None = None
+        at, token, last = 0, longest[0], -1
         while at < n:
             while token >= 0:
-                end = at + len(self.tokens[token])
-                if not dead[end] and (not out or self.fits(out[-1], token)):
-                    break
-                token = self.shorter[token]
+                end = at + sizes[token]
+                if dead is None or not dead[end]:
+                    if last < 0:
+                        break
+                    fits = compatible.get(last << 32 | token)
+                    if fits or (fits is None and self.fits(last, token)):
+                        break
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
-                at = end
+                last, at = token, end
                 token = longest[at] if at < n else -1
             else:
+                if dead is None:
+                    dead = bytearray(n + 1)
                 dead[at] = 1
                 token = out.pop()
-                at -= len(self.tokens[token])
-                token = self.shorter[token]
+                last = out[-1] if out else -1
+                at -= sizes[token]
+                token = shorter[token]
         return out
 
     def _reachable(self, token: int) -> bool:
@@ -165,18 +196,18 @@ class Vocabulary:
 
     def chunk(self, text: str) -> tuple[bytes, str]:
         """Ids of a chunk of text, as int32 bytes and as decimals joined by commas."""
-        known = self.pieces
-        if len(known) > MEMORY:
-            known.clear()
         found: list[int] = []
-        for p in self.splitter.findall(text):
-            ids = known.get(p)
-            if ids is None:
-                ids = self.piece(utf8(p))
-                if len(p) < 64:
-                    known[p] = ids
-            found += ids
-        return array("i", found).tobytes(), ",".join(map(str, found))
+        pieces = self.splitter.findall(text)
+        if len(pieces) == 1:
+            found = self.piece(utf8(text))
+        else:
+            for p in pieces:
+                ids = self.pieces.get(p)
+                if ids is None:
+                    ids = self.piece(utf8(p))
+                    self.pieces.put(p, ids)
+                found += ids
+        return array("i", found).tobytes(), ",".join([self.decimals[i] for i in found])
 
     def encode(self, text: str) -> tuple[np.ndarray, str]:
         """Ids of a text, as an array and as decimals joined by commas."""
@@ -192,23 +223,20 @@ class Vocabulary:
 
     def _plain(self, text: str) -> list[tuple[bytes, str]]:
         """A space between two visible characters always starts a piece, so a text can be cut before
-        each of them; what follows the space repeats a lot and is looked up. A text in which a space
-        has white space beside it is split as a whole."""
+        each of them; what follows the space repeats a lot and is looked up."""
         if not text:
             return []
-        if _ODD_SPACE.search(text):
-            return [self.chunk(text)]
-        head, *rest = text.split(" ")
-        if len(self.memory) > MEMORY:
-            self.memory.clear()
-        parts = list(map(self.memory.get, rest))
+        head, *rest = _CUT.split(text) if _ODD_SPACE.search(text) else text.split(" ")
+        parts = list(map(self.memory.young.get, rest))
         if None in parts:
             for i, known in enumerate(parts):
                 if known is None:
                     c = rest[i]
-                    known = parts[i] = self.memory.get(c) or self.chunk(" " + c)
-                    if len(c) < 64:
-                        self.memory[c] = known
+                    known = self.memory.get(c)
+                    if known is None:
+                        known = self.chunk(" " + c)
+                        self.memory.put(c, known)
+                    parts[i] = known
         return [self.chunk(head), *parts]
 
     def decode(self, ids: np.ndarray) -> str:
@@ -221,8 +249,9 @@ class Vocabulary:
         return self.blob[where].tobytes().decode("utf-8", "replace")
 
 
-#: A space with white space beside it, or at either end.
+#: A space with white space beside it, or at either end; and one between visible characters.
 _ODD_SPACE = re.compile(r" (?:\s|$)|\s |^ ")
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 def utf8(text: str) -> bytes:
@@ -239,13 +268,13 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        for batch in _sliced(batches, text):
+        for batch in sliced(batches, text, 4_000_000):
             found = [vocab.encode(t or "")[0] for t in batch.column(text).to_pylist()]
             ends = np.concatenate(([0], np.cumsum([len(f) for f in found])))
             column = pa.ListArray.from_arrays(
                 pa.array(ends, pa.int32()), pa.array(np.concatenate([*found, np.empty(0, np.int32)]), pa.int32())
             )
-            yield _with(batch, {ids: column})
+            yield with_columns(batch, {ids: column})
 
     kept = docs.drop(ids)
     return kept.mapInArrow(run, extended(kept.schema, f"`{ids}` array<int>"))
@@ -258,7 +287,7 @@ def decode_documents(docs: DataFrame, path: str, ids: str = "ids", text: str = "
         vocab = vocabulary(path)
         for batch in batches:
             found = [vocab.decode(np.array(i or [], np.int64)) for i in batch.column(ids).to_pylist()]
-            yield _with(batch, {text: pa.array(found, pa.string())})
+            yield with_columns(batch, {text: pa.array(found, pa.string())})
 
     kept = docs.drop(text)
     return kept.mapInArrow(run, extended(kept.schema, f"`{text}` string"))
@@ -270,14 +299,14 @@ def digest_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
-        for batch in _sliced(batches, text):
+        for batch in sliced(batches, text, 4_000_000):
             n, ids_sha, text_sha = [], [], []
             for t in batch.column(text).to_pylist():
                 ids, decimals = vocab.encode(t or "")
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(decimals.encode()).hexdigest())
                 text_sha.append(hashlib.sha256(vocab.decode(ids).encode()).hexdigest())
-            yield _with(
+            yield with_columns(
                 batch.drop_columns([text]),
                 {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())},
             )
@@ -286,19 +315,3 @@ def digest_documents(docs: DataFrame, path: str, text: str = "text") -> DataFram
     kept = docs.drop(*[c for c in made if c != text])
     ddl = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     return kept.mapInArrow(run, extended(kept.drop(text).schema, ddl))
-
-
-def _sliced(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that each holds about ``limit`` bytes of text at most, or one row."""
-    for batch in batches:
-        sizes = np.array(pc.binary_length(batch.column(text)).fill_null(0))
-        part = np.cumsum(sizes) // limit
-        edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1), batch.num_rows]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if b > a:
-                yield batch.slice(a, b - a)
-
-
-def _with(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
-    names = [*batch.schema.names, *columns]
-    return pa.RecordBatch.from_arrays([*batch.columns, *columns.values()], names=names)
