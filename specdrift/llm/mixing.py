@@ -1,24 +1,32 @@
 """Mixing sources to target weights by entropy balancing, with DataFrame operations only.
 
-Of all document rates r (copies, as a fraction) that give each source its target number of words,
-entropy balancing takes those nearest to 1 in Kullback-Leibler divergence, summed over words:
+Of all document rates r (copies, as a fraction) between 0 and ``most`` that give each source its target
+number of words, entropy balancing takes those nearest to 1 in Kullback-Leibler divergence:
 
-    minimise  sum_i size_i (r_i log r_i - r_i + 1)   subject to  sum_{i in s} size_i r_i = target_s
+    minimise  sum_i r_i log r_i - r_i + 1   subject to  sum_{i in s} size_i r_i = target_s,  r_i <= most
 
-The dual is  D(lambda) = sum_s size_s exp(lambda_s) - lambda_s target_s,  and r_i = exp(lambda_s).
-A document's words enter one constraint only, so the Hessian is diagonal and its sums over the
-documents are the sources' sizes: one distributed aggregation gathers them, and each Newton step
-then moves all sources at once in a projection of one row for each source.
+The convex dual has one multiplier for each source, and r_i = min(most, exp(lambda_s size_i)): documents
+are tilted exponentially by their size. Newton's method finds the multipliers of all sources at once;
+each step is one distributed aggregation of gradient and Hessian over the documents, which are first
+counted by source and size. A step that leaves the bracket of its source's solution is replaced by
+its midpoint. It ends when every constraint holds to ``TOLERANCE``.
 
-Rates become whole copies. Every document gets floor(r) copies; some get one more. Documents of a
-source are split into size classes (powers of two) and 256 bins by a hash of doc_id. From the
-largest class down, a prefix of each class's bins gets the extra copy, cut where the words taken
-come nearest to what is due, and the difference is carried to the next class. So rounding errors of
-long documents are made good with short ones, and only sums by (source, class, bin) are shuffled.
+Rates become whole copies. Every document gets floor(r) copies; some get one more. A document's place
+is a hash of its doc_id, uniform in (0, 1), over the fraction of its rate, so that a place below 1 comes
+with just that probability. Documents of a source are split into size classes (powers of two) and
+their places into ``BINS``. From the largest class down, a prefix of each class's bins gets the extra copy,
+cut where the words taken come nearest to what is due, and the difference is carried to the next
+class. So rounding errors of long documents are made good with short ones, and only sums by (source,
+class, bin) are shuffled.
+
+Documents are read twice: for their sizes, and for the result. Sums over sources use windows without a
+partition, on one row for each source. The table of cuts, up to 32 rows for each source, is joined as
+Spark sees fit by its size; nothing is broadcast by force.
 
 Defined results: a null text has size 0; null sources form one source, sorted last; a source of
-size 0 has target 0 and rate 0; repeated rows of one doc_id are treated alike; an empty table gives
-no rows. Reruns agree, whatever the partitioning.
+size 0 has target 0 and no copies; elsewhere a document of size 0 has rate 1; repeated rows of one
+doc_id are treated alike; a null doc_id hashes like an empty text; an empty table gives no rows. Reruns
+agree, whatever the partitioning. Columns named like the result's are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -28,16 +36,18 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from specdrift.llm.io import discard, stored
+
 WORD = r"[^\x20\x09-\x0D]+"
-BINS = 256
-#: Sources up to which the table of cuts (a few KB each) is broadcast; beyond, it is joined by a salted shuffle.
-BROADCAST_SOURCES = 2_000
-SALTS = 16
+#: Bins of places, and how many there are to 1.
+BINS, BINS_TO_ONE = 512, 128
+#: Relative error of a constraint.
+TOLERANCE = 1e-9
 
 
 def text_size(text: Column) -> Column:
     """Number of words; 0 for null."""
-    return F.coalesce(F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), F.lit(0)).cast("bigint")
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
@@ -68,47 +78,75 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     return filled.select("source", "source_size", target.alias("target"))
 
 
-def newton_rates(targets: DataFrame, steps: int = 60, most: float = 3.0) -> DataFrame:
-    """Adds ``rate`` = exp(lambda), lambda the minimiser of the convex dual.
-
-    Newton starts at the right, at log(most), from where the steps decrease and converge for every
-    source (at worst by 1 a step, then quadratically).
-    """
-    share = F.try_divide(F.col("target"), F.col("source_size").cast("double"))
-    # gradient / Hessian = (size e^l - target) / (size e^l) = 1 - share e^-l
-    at = F.aggregate(
-        F.sequence(F.lit(1), F.lit(steps)),
-        F.lit(math.log(most)),
-        lambda at, _: at - (F.lit(1.0) - F.col("share") * F.exp(-at)),
-    )
-    return (
-        targets.withColumn("share", share)
-        .withColumn("rate", F.when(F.col("share") > 0, F.exp(at)).otherwise(F.lit(0.0)))
-        .drop("share")
-    )
+def rate_of(multiplier: Column, size: Column, most: float) -> Column:
+    """min(most, exp(multiplier * size)), exactly ``most`` where it is reached; 0 without a multiplier."""
+    x = multiplier * size
+    return F.when(multiplier.isNull(), F.lit(0.0)).when(x >= math.log(most), F.lit(float(most))).otherwise(F.exp(x))
 
 
-def _with_bins(docs: DataFrame, text: str, doc_id: str, source: str) -> DataFrame:
-    size = text_size(F.col(f"`{text}`"))
-    key = F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit(""))
-    return docs.withColumn("__source", F.col(f"`{source}`")).withColumn("__size", size).withColumn(
-        "__class", F.length(F.bin(F.col("__size")))
-    ).withColumn("__bin", F.conv(F.substring(F.md5(key.cast("binary")), 1, 2), 16, 10).cast("int"))
+def multipliers(cells: DataFrame, targets: DataFrame, most: float = 3.0) -> DataFrame:
+    """(source, source_size, target, multiplier) from cells (source, size, n) of n documents each, and
+    targets (source, source_size, target). Null where a target is 0."""
+    sized = cells.filter("size > 0").withColumnRenamed("source", "of")
+    facts = sized.groupBy("of").agg(F.min("size").cast("double").alias("least"), (F.sum(F.col("n") * F.col("size") * F.col("size")) / F.sum(F.col("n") * F.col("size"))).alias("mean"))
+    share = F.try_divide(F.col("target"), F.col("source_size").cast("double"))
+    found = targets.join(facts, targets["source"].eqNullSafe(facts["of"]), "left").drop("of").withColumn("share", F.when(share > 0, share))
+    top, log_share = F.lit(math.log(most)) / F.col("least"), F.log("share")
+    full = F.col("share") >= most * (1 - 1e-12)
+    state = found.select(
+        "source", "source_size", "target",
+        F.when(full, top).otherwise(log_share / F.col("mean")).alias("multiplier"),
+        F.least(F.lit(0.0), log_share / F.col("least")).alias("lo"), top.alias("hi"), (full | F.col("share").isNull()).alias("done"),
+    )
+    state = stored(state, "multipliers")
+    x = F.col("multiplier") * F.col("size")
+    words = F.col("n") * F.col("size") * rate_of(F.col("multiplier"), F.col("size"), most)
+    while not state.filter("not done").isEmpty():
+        going = state.filter("not done").select(F.col("source").alias("s"), "multiplier")
+        sums = sized.join(going, sized["of"].eqNullSafe(going["s"])).groupBy("of").agg(
+            F.sum(words).alias("taken"), F.sum(F.when(x < math.log(most), words * F.col("size")).otherwise(0.0)).alias("slope")
+        )
+        err = F.col("taken") - F.col("target")
+        lo, hi = F.when(err < 0, F.col("multiplier")).otherwise(F.col("lo")), F.when(err > 0, F.col("multiplier")).otherwise(F.col("hi"))
+        stepped = state.join(sums, state["source"].eqNullSafe(sums["of"]), "left").withColumns({
+            "err": err, "low": lo, "high": hi, "step": F.col("multiplier") - F.try_divide(err, F.col("slope")),
+        })
+        inside = F.coalesce((F.col("step") > F.col("low")) & (F.col("step") < F.col("high")), F.lit(False))
+        middle = (F.col("low") + F.col("high")) / 2
+        done = (F.abs("err") <= TOLERANCE * F.col("target")) | (middle <= F.col("low")) | (middle >= F.col("high"))
+        after = stepped.withColumn("ends", F.col("done") | F.coalesce(done, F.lit(True))).select(
+            "source", "source_size", "target",
+            F.when(F.col("ends"), F.col("multiplier")).when(inside, F.col("step")).otherwise(middle).alias("multiplier"),
+            F.col("low").alias("lo"), F.col("high").alias("hi"), F.col("ends").alias("done"),
+        )
+        before, state = state, stored(after, "multipliers")
+        discard(before)
+    return state.select("source", "source_size", "target", "multiplier")
+
+
+def _place(doc_id: Column, rate: Column) -> Column:
+    """The bin of a document's place."""
+    hashed = F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    part = rate - F.floor(rate)
+    return F.when(part > 0, F.least(F.lit(BINS - 1), F.floor(hashed / part * BINS_TO_ONE)).cast("int"))
+
+
+def _class(size: Column) -> Column:
+    return F.length(F.bin(size))
 
 
 def _cuts(cells: DataFrame) -> DataFrame:
-    """Rows (source, size class) with the bin below which documents get the extra copy."""
-    by_class = (
+    """By source: the size classes, largest first, with what is due in each and the words of its bins."""
+    return (
         cells.groupBy("__source", "__class")
-        .agg(F.array_sort(F.collect_list(F.struct("__bin", "words"))).alias("bins"), F.sum("words").alias("all"))
+        .agg(F.array_sort(F.collect_list(F.struct("__bin", "words"))).alias("bins"), F.sum("due").alias("all"))
         .groupBy("__source")
         .agg(F.reverse(F.array_sort(F.collect_list(F.struct("__class", "all", "bins")))).alias("classes"))
     )
-    return by_class
 
 
 def _fold_cuts(by_source: DataFrame) -> DataFrame:
-    part = F.col("rate") - F.floor("rate")
+    """(source, size class) with the bin below which documents get the extra copy."""
     start = F.struct(
         F.lit(0.0).alias("due"),
         F.array().cast("array<struct<class:int,cut:int>>").alias("cuts"),
@@ -132,7 +170,7 @@ def _fold_cuts(by_source: DataFrame) -> DataFrame:
         return F.aggregate(bins, first, step)
 
     def step(acc: Column, one: Column) -> Column:
-        due = acc["due"] + F.col("part") * one["all"]
+        due = acc["due"] + one["all"]
         # a transform over one element binds the inner fold's result to a name
         return F.element_at(
             F.transform(
@@ -147,10 +185,8 @@ def _fold_cuts(by_source: DataFrame) -> DataFrame:
             1,
         )
 
-    folded = by_source.withColumn("part", part).withColumn("cuts", F.aggregate("classes", start, step)["cuts"])
-    return folded.select("__source", "source_size", "target", "rate", F.explode("cuts").alias("c")).select(
-        "__source", "source_size", "target", "rate", F.col("c.class").alias("__class"), F.col("c.cut").alias("__cut")
-    )
+    folded = by_source.select("__source", F.explode(F.aggregate("classes", start, step)["cuts"]).alias("c"))
+    return folded.select("__source", F.col("c.class").alias("__class"), F.col("c.cut").alias("__cut"))
 
 
 def mix(
@@ -161,33 +197,28 @@ def mix(
     doc_id: str = "doc_id",
     source: str = "source",
 ) -> DataFrame:
-    """``docs`` with ``size``, ``source_size``, ``target``, ``rate`` and ``copies``.
-
-    Columns of these names are replaced; all others stay.
-    """
+    """``docs`` with ``size``, ``source_size``, ``target``, ``rate`` and ``copies``."""
     made = ("size", "source_size", "target", "rate", "copies")
     docs = docs.drop(*[c for c in made if c not in (text, doc_id, source)])
-    binned = _with_bins(docs, text, doc_id, source)
-    cells = binned.groupBy("__source", "__class", "__bin").agg(F.sum("__size").alias("words"))
-    sizes = cells.groupBy(F.col("__source").alias("source")).agg(F.sum("words").alias("source_size"))
-    rates = newton_rates(source_targets(sizes, weights, most), most=most).withColumnRenamed("source", "__key")
-    classes = _cuts(cells)
-    table = _fold_cuts(classes.join(rates, classes["__source"].eqNullSafe(rates["__key"])).drop("__key"))
-    few = sizes.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    names = {c: f"__r_{c}" for c in ("__source", "__class")}
-    table = table.withColumnsRenamed(names)
-    same = lambda: (binned["__source"].eqNullSafe(table["__r___source"])) & (binned["__class"] == table["__r___class"])
-    if few:
-        joined = binned.join(F.broadcast(table), same())
-    else:
-        table = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = binned.join(table, same() & (binned["__bin"] % SALTS == table["__salt"]))
-    copies = F.floor("rate") + F.when(F.col("__bin") < F.col("__cut"), 1).otherwise(0)
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    size = text_size(F.col(f"`{text}`")).alias("__size")
+    sizes = stored(docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{source}`").alias("__source"), size), "sizes")
+    cells = stored(sizes.groupBy(F.col("__source").alias("source"), F.col("__size").alias("size")).agg(F.count("*").alias("n")), "cells")
+    by_source = cells.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
+    found = multipliers(cells, source_targets(by_source, weights, most), most).withColumnRenamed("source", "__key")
+
+    def rated(rows: DataFrame) -> DataFrame:
+        return rows.join(found, rows["__source"].eqNullSafe(found["__key"])).withColumn("rate", rate_of(F.col("multiplier"), F.col("__size"), most))
+
+    with_bin = rated(sizes).select("__source", _class(F.col("__size")).alias("__class"), "__size", "rate", _place(F.col("__id"), F.col("rate")).alias("__bin"))
+    part = F.col("rate") - F.floor("rate")
+    sums = with_bin.filter("__bin is not null").groupBy("__source", "__class", "__bin").agg(F.sum("__size").alias("words"), F.sum(part * F.col("__size")).alias("due"))
+    cuts = stored(_fold_cuts(_cuts(sums)), "cuts").withColumnsRenamed({"__source": "__cut_source", "__class": "__cut_class"})
+    discard(sizes, cells)
+    rows = rated(docs.select(own, F.col(f"`{source}`").alias("__source"), F.col(f"`{doc_id}`").alias("__id"), size))
+    joined = rows.join(cuts, rows["__source"].eqNullSafe(cuts["__cut_source"]) & (_class(F.col("__size")) == F.col("__cut_class")), "left")
+    extra = F.coalesce(_place(F.col("__id"), F.col("rate")) < F.col("__cut"), F.lit(False)).cast("int")
     return joined.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
-        F.col("__size").alias("size"),
-        "source_size",
-        "target",
-        "rate",
-        copies.cast("bigint").alias("copies"),
-    )
+        *[F.col("__row").getField(c).alias(c) for c in docs.columns],
+        F.col("__size").alias("size"), "source_size", "target", "rate", (F.floor("rate") + extra).cast("bigint").alias("copies"),
+    )

@@ -177,3 +177,27 @@ def test_token_files_round_trip(spark):
     token_counts.write_token_files(token_counts.word_tokens(docs), path, 65_535, rows=2)
     got = token_counts.count_tokens(spark, path, 65_535, block=64).collect()
     assert sorted(r["n_tokens"] for r in got) == [0, 0, 3, 5000] and all(r["ended"] for r in got)
+
+
+def test_mixing_solves_the_entropy_problem(spark):
+    """Rates against the optimality conditions, multipliers against bisection in numpy."""
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(["w"] * int(n)), "abc"[i % 3] if i % 7 else None) for i, n in enumerate(np.maximum(1, rng.lognormal(3, 1, 400)))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.mix(docs).toPandas()
+    for _, mine in got.groupby(got["source"].fillna("?")):
+        size, rate, target = mine["size"].to_numpy(float), mine["rate"].to_numpy(), mine["target"].iloc[0]
+        assert (size * rate).sum() == pytest.approx(target, rel=1e-8)
+        lo, hi = -5.0, 5.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if (size * np.exp(np.minimum(mid * size, np.log(3)))).sum() < target else (lo, mid)
+        assert np.allclose(rate, np.exp(np.minimum(lo * size, np.log(3))), rtol=1e-5)
+        assert abs((mine["copies"] * size).sum() - target) <= 0.02 * target
+        assert ((mine["copies"] >= np.floor(rate)) & (mine["copies"] <= np.ceil(rate))).all()
+
+
+def test_mixing_keeps_user_columns(spark):
+    docs = spark.createDataFrame([(1, "a b", "s", "k"), (1, "a b", "s", "k"), (None, None, None, None)], "doc_id bigint, text string, source string, __size string")
+    got = mixing.mix(docs)
+    assert got.columns[:4] == docs.columns and sorted(str(r["__size"]) for r in got.collect()) == ["None", "k", "k"]
