@@ -1,23 +1,29 @@
 """Approximate nearest neighbours by collision-counting hashing (query-aware projections).
 
-Vectors are projected on ``m`` random lines. The index keeps, for each line, the vectors' projections
-in sorted order; there are no fixed buckets. A query puts a window around its own projection on every
-line. A vector collides on a line if it lies in the window, and vectors that collide on at least
-``threshold`` of the lines are verified by their exact inner product. If a query has too few such
-candidates, all its windows are widened by a factor (virtual rehashing: as if larger buckets had been
-used from the start) and the count is taken again.
+Vectors are projected on single lines. The index keeps, for each line, the vectors' projections in
+sorted order, and each vector's place in it; there are no fixed buckets. A query puts a window around
+its own projection on every line. A vector collides on a line if its place lies in the window, and
+vectors that collide on at least ``THRESHOLD`` of the lines are verified by their exact inner product. If
+a query has too few such candidates, all its windows are widened by a factor (virtual rehashing: as if
+larger buckets had been used from the start) and the count is taken again.
+
+The ``LINES`` lines, or a few more, are the axes of random rotations: orthogonal lines tell more apart than as many
+independent ones, and wide windows with a high threshold more than narrow ones with a low threshold.
 
 Inner products become distances by one more coordinate: with M the largest norm, x goes to
 (x / M, sqrt(1 - |x|^2 / M^2)) and q to (q / |q|, 0), so that the largest inner product is the
 smallest distance.
 
-Every valid row is indexed, in blocks of ``BLOCK_ROWS``; each block has its own sorted lines and
-answers for itself, and the best ``k`` over all blocks are kept, so blocks are independent tasks and
-nothing is capped. Queries meet the blocks in blocks too (a stated query set against all rows).
+Every valid row is indexed, in blocks of about ``BLOCK_ROWS`` that a hash of the id fills, so the answer
+does not depend on how the table is laid out. Each block has its own sorted lines and answers for
+itself, and the best ``k`` over all blocks are kept, so blocks are independent tasks and nothing is
+capped. Queries meet the blocks in blocks too (a stated query set against all rows).
 
 Defined results: vectors that are null, empty, zero, or hold a null or a non-finite component take no
-part. Vectors of different dimensions are never compared. Ties in the score go to the smaller id.
-Rows that repeat an id are candidates one by one, but a query never finds its own id.
+part, and neither do rows without an id. Vectors of different dimensions are never compared. Ties in
+the score go to the smaller id. Rows that repeat an id are candidates one by one, but a query never
+finds its own id; queries that repeat an id have their finds together. An empty table gives no rows.
+Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,20 +32,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Lines; collisions needed, as a share of them; first share of a block's rows in a window; factor of widening.
-LINES = 104
-THRESHOLD = 0.5
-FIRST_SHARE = 0.20
-WIDEN = 1.2
-#: A query is done with a block when this share of the block, and 20 k rows at least, are verified.
-VERIFIED = 0.24
+#: Lines; collisions needed, as a share of the lines; rows that the first window is chosen by; factor of widening.
+LINES = 195
+THRESHOLD = 0.8
+PROBED = 512
+WIDEN = 1.03
+#: A query is done with a block when this share of the block, and 8 k rows at least, are verified.
+VERIFIED = 0.07
 BLOCK_ROWS = 16_384
 QUERY_ROWS = 4_096
-#: Queries counted at a time.
-AT_ONCE = 128
 SEED = 17
 
 
@@ -51,79 +56,89 @@ def valid(vec: Column) -> Column:
 
 
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Rows (id, vec array<double>) packed to (ids binary, dim int, data binary)."""
+    """Rows (id, vec array<double>) packed to (ids binary, dim int, data binary), by a hash of the id."""
+    n = 1 + rows.count() // size
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n))).repartition(n, "block")
 
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, list] = {}
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list] = {}
 
-        def out(dim: int, part: list) -> pd.DataFrame:
-            ids = np.array([p[0] for p in part], np.int64)
-            data = np.stack([p[1] for p in part])
-            return pd.DataFrame([(ids.tobytes(), dim, data.tobytes())], columns=["ids", "dim", "data"])
+        def out(dim: int, parts: list) -> pa.RecordBatch:
+            ids, data = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((*data.T[::-1], ids))
+            columns = [pa.array([ids[order].tobytes()], pa.binary()), pa.array([dim], pa.int32()), pa.array([data[order].tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["ids", "dim", "data"])
 
         for batch in batches:
-            for i, v in zip(batch["id"], batch["vec"], strict=True):
-                part = held.setdefault(len(v), [])
-                part.append((i, np.asarray(v, np.float64)))
-                if len(part) >= size:
-                    yield out(len(v), held.pop(len(v)))
-        for dim, part in held.items():
-            yield out(dim, part)
+            vecs = batch.column("vec")
+            ids, block, dims = batch.column("id").to_numpy(), batch.column("block").to_numpy(), vecs.value_lengths().to_numpy()
+            for dim in np.unique(dims):
+                for b in np.unique(block[dims == dim]):
+                    mine = np.flatnonzero((dims == dim) & (block == b))
+                    parts = held.setdefault((dim, b), [])
+                    parts.append((ids[mine], vecs.take(pa.array(mine)).flatten().to_numpy().reshape(-1, dim)))
+                    if sum(len(i) for i, _ in parts) >= 2 * size:  # rows of one id
+                        yield out(dim, held.pop((dim, b)))
+        for (dim, _), parts in sorted(held.items()):
+            yield out(dim, parts)
+
+    return dealt.mapInArrow(pack, "ids binary, dim int, data binary")
 
-    return rows.mapInPandas(pack, "ids binary, dim int, data binary")
+
+def rotations(dim: int, seed: int = SEED) -> np.ndarray:
+    """The axes of random rotations, as columns; whole rotations, ``LINES`` or a few more."""
+    rng = np.random.default_rng([seed, dim])
+    return np.concatenate([np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(-(-LINES // dim))], axis=1)
 
 
 class BlockIndex:
-    """Sorted projections of one block of vectors."""
+    """Sorted projections of one block of vectors, and the places of the vectors in them."""
 
     def __init__(self, ids: np.ndarray, data: np.ndarray, top: float, lines: np.ndarray):
         self.ids, self.data = ids, data
         scaled = data / top
         rest = np.sqrt(np.maximum(0.0, 1.0 - np.einsum("ij,ij->i", scaled, scaled)))
         projected = (np.concatenate((scaled, rest[:, None]), axis=1) @ lines).T
-        self.order = np.argsort(projected, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(projected, self.order, axis=1)
+        order = np.argsort(projected, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(projected, order, axis=1)
+        self.place = np.empty(order.shape, np.uint16 if len(ids) < 1 << 15 else np.uint32)
+        np.put_along_axis(self.place, order, np.arange(len(ids), dtype=self.place.dtype)[None], axis=1)
+        some = np.random.default_rng(SEED).permutation(len(ids))[:PROBED]
+        self.probed = np.ascontiguousarray(projected.T[some])
 
     def search(self, at: np.ndarray, k: int) -> Iterator[np.ndarray]:
         """For each query, given by its projections ``at`` [query, line], the rows that collide enough."""
         n, m = len(self.ids), len(self.sorted)
-        need = min(n, max(20 * k, int(VERIFIED * n)))
+        need = min(n, max(8 * k, int(VERIFIED * n)))
         least = int(np.ceil(THRESHOLD * m))
-        # the first half-width: on a median line, FIRST_SHARE of the block lies in the window
-        centre = self._places(at)
-        reach = int(FIRST_SHARE * n / 2) + 1
-        lines = np.arange(m)
-        low = np.abs(at - self.sorted[lines, np.maximum(centre - reach, 0)])
-        high = np.abs(self.sorted[lines, np.minimum(centre + reach, n - 1)] - at)
-        width = np.median(np.maximum(low, high), axis=1) + 1e-12
-        counts = np.zeros((len(at), n), np.int16)
-        found: list = [None] * len(at)
-        left, right, active = centre.copy(), centre.copy(), np.arange(len(at))
-        while len(active):
-            new_left = self._places(at[active] - width[active, None])
-            new_right = self._places(at[active] + width[active, None], "right")
-            going = []
-            for i, q in enumerate(active):
-                # only what the wider windows add is counted
-                parts = [self.order[j, x:y] for j, (x, y) in enumerate(zip(new_left[i].tolist(), left[q].tolist(), strict=True)) if x < y]
-                parts += [self.order[j, x:y] for j, (x, y) in enumerate(zip(right[q].tolist(), new_right[i].tolist(), strict=True)) if x < y]
-                if parts:
-                    counts[q] += np.bincount(np.concatenate(parts), minlength=n).astype(np.int16)
-                left[q], right[q] = new_left[i], new_right[i]
-                hits = np.flatnonzero(counts[q] >= least)
-                if len(hits) >= need or ((new_left[i] == 0).all() and (new_right[i] == n).all()):
-                    found[q] = hits
-                else:
-                    going.append(q)
-            active = np.array(going, np.int64)
-            width[active] *= WIDEN
-        yield from found
+        # the first half-width: a probed row collides enough from its least-th smallest distance on
+        first = min(len(self.probed) - 1, int(len(self.probed) * need / n * 1.1))
+        for own in at:
+            enough = np.partition(np.abs(self.probed - own), least - 1, axis=1)[:, least - 1]
+            width = np.partition(enough, first)[first] + 1e-12
+            while True:
+                left, right = self._places(own - width), self._places(own + width, "right")
+                hits = np.flatnonzero(self._collisions(left, right) >= least)
+                if len(hits) >= need or ((left == 0).all() and (right == n).all()):
+                    yield hits
+                    break
+                width *= WIDEN
 
     def _places(self, values: np.ndarray, side: str = "left") -> np.ndarray:
-        return np.stack([np.searchsorted(line, values[:, j], side) for j, line in enumerate(self.sorted)], axis=1)
+        return np.array([line.searchsorted(v, side) for line, v in zip(self.sorted, values.tolist(), strict=True)])
+
+    def _collisions(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """For each row, the lines on which its place lies in the window from left to right."""
+        kind, counts = self.place.dtype, np.zeros(len(self.ids), np.uint16)
+        left, width = left.astype(kind)[:, None], (right - left).astype(kind)[:, None]
+        for i in range(0, len(left), 32):
+            # places below the window wrap around and come out far above it
+            hit = (self.place[i : i + 32] - left[i : i + 32]) < width[i : i + 32]
+            counts += hit.view(np.uint8).sum(axis=0, dtype=np.uint8)
+        return counts
 
 
-def search(base: DataFrame, queries: DataFrame, k: int, vec: str, vec_id: str, lines: int = LINES, seed: int = SEED) -> DataFrame:
+def search(base: DataFrame, queries: DataFrame, k: int, vec: str, vec_id: str, seed: int = SEED) -> DataFrame:
     """(query_id, rank, <vec_id>, score): each query's ``k`` nearest found by inner product.
 
     ``queries`` and ``base`` are rows with ``vec_id`` and ``vec``; a query is not its own neighbour.
@@ -143,7 +158,7 @@ def search(base: DataFrame, queries: DataFrame, k: int, vec: str, vec_id: str, l
         last, index = None, None
         for batch in batches:
             for ids, dim, data, q_ids, q_data in batch[batch["dim"] == batch["q_dim"]][["ids", "dim", "data", "q_ids", "q_data"]].itertuples(index=False):
-                directions = np.random.default_rng([seed, dim]).normal(size=(dim + 1, lines))
+                directions = rotations(dim + 1, seed)
                 if last != (ids, data):
                     last = (ids, data)
                     index = BlockIndex(np.frombuffer(ids, np.int64), np.frombuffer(data).reshape(-1, dim), top, directions)
@@ -151,8 +166,7 @@ def search(base: DataFrame, queries: DataFrame, k: int, vec: str, vec_id: str, l
                 asked_for = np.frombuffer(q_data).reshape(-1, dim)
                 at = asked_for / np.sqrt(np.einsum("ij,ij->i", asked_for, asked_for))[:, None] @ directions[:-1]
                 out = []
-                hits = (f for i in range(0, len(own), AT_ONCE) for f in index.search(at[i : i + AT_ONCE], k))
-                for q, found in enumerate(hits):
+                for q, found in enumerate(index.search(at, k)):
                     found = found[index.ids[found] != own[q]]
                     score = np.einsum("ij,j->i", index.data[found], asked_for[q])
                     best = np.lexsort((index.ids[found], -score))[:k]
