@@ -2,16 +2,20 @@
 
 Characters of a text (lower-cased code points; everything that is not a letter counts as one blank)
 are hashed in runs of one to three into a fixed number of buckets. Training adds up counts for each
-language and bucket over all labelled documents: each task keeps one dense matrix, and the matrices
-are summed block by block. The matrix of log probabilities has a proven size, languages x buckets x
-4 bytes (1 MB for each language at the default), and is broadcast; at most ``MAX_LANGUAGES`` are
-accepted. Scoring looks up a document's buckets with numpy, in pieces of bounded length, so a long
-text costs time in proportion and no more memory.
+language and bucket over all labelled documents: each task adds up dense vectors, puts them out
+whenever it holds ``HELD`` languages, and the vectors are summed block by block. The matrix of log
+probabilities, languages x buckets x 4 bytes (1 MB for each language at the default), is broadcast in
+groups of ``GROUP`` languages, a proven size. Each group is one pass that scores documents in batches:
+the buckets of many texts are counted to one sparse matrix, whose product with the group's matrix gives
+all scores at once. Long texts are cut into pieces whose scores are added up, so they cost time in
+proportion and no more memory. Passes carry on the best score so far and the sum of the others over it,
+so any number of languages is learned and compared.
 
 Priors are uniform, so that a hot language or source gets no advantage. The score is the posterior
-probability of the language predicted. Null texts and texts without a letter are ``und`` with score
-0. Ties go to the first language in code point order. Repeated rows are counted, and scored, one by
-one. Without a labelled document every prediction is ``und``.
+probability of the language predicted. Defined results: null texts and texts without a letter are ``und``
+with score 0. Ties go to the first language in code point order. Repeated rows are counted, and
+scored, one by one. Without a labelled document every prediction is ``und``; an empty table gives no
+rows. Columns named like the result's are replaced, all others stay.
 """
 
 from __future__ import annotations
@@ -23,16 +27,21 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from specdrift.llm.io import extended
+from specdrift.llm.textnum import with_columns
 from specdrift.llm.vectors import collect_vectors, split_blocks, sum_blocks
 
 BUCKETS = 1 << 18
 SMOOTHING = 0.5
-MAX_LANGUAGES = 512
+#: Languages whose matrix is broadcast at once, and whose counts a training task holds.
+GROUP, HELD = 64, 64
 UNKNOWN = "und"
+#: Buckets of texts scored at a time.
+BATCH = 1 << 20
 #: Code points hashed at a time.
 PIECE = 1 << 18
 
@@ -90,26 +99,30 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = B
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
+
+        def flush() -> Iterator[pd.DataFrame]:
+            rows = [r for name, vec in sums.items() for r in split_blocks(name, vec)]
+            # a language without a single letter is still learned
+            rows += [(name, 0, np.zeros(1).tobytes()) for name, vec in sums.items() if not vec.any()]
+            if rows:
+                yield pd.DataFrame(rows, columns=["name", "block", "value"])
+            sums.clear()
+
         for batch in batches:
             for t, name in zip(batch["t"], batch["l"], strict=True):
+                if name not in sums and len(sums) >= HELD:
+                    yield from flush()
                 vec = sums.setdefault(name, np.zeros(size))
                 for found in _text_buckets(t, size):
                     if len(found) * 4 > size:
                         vec += np.bincount(found, minlength=size)
                     else:
-                        ids, n = np.unique(found, return_counts=True)
-                        vec[ids] += n
-        rows = [r for name, vec in sums.items() for r in split_blocks(name, vec)]
-        # a language without a single letter is still learned
-        rows += [(name, 0, np.zeros(1).tobytes()) for name, vec in sums.items() if not vec.any()]
-        if rows:
-            yield pd.DataFrame(rows, columns=["name", "block", "value"])
+                        np.add.at(vec, found, 1.0)
+        yield from flush()
 
     labelled = docs.select(F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l")).dropna()
     counts = labelled.mapInPandas(count, "name string, block int, value binary")
     sums = collect_vectors(sum_blocks(counts), size)
-    if len(sums) > MAX_LANGUAGES:
-        raise ValueError(f"{len(sums)} languages; the model is bounded to {MAX_LANGUAGES}")
     names = sorted(sums, key=lambda n: n.encode())
     if not names:
         return [], np.zeros((0, size), np.float32)
@@ -117,30 +130,66 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = B
     return names, np.log(matrix / matrix.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
+def _sparse(texts: Iterator[str | None], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Batches of (text number, bucket) pairs, one for each n-gram."""
+    rows, found, held = [], [], 0
+    for i, t in enumerate(texts):
+        for some in _text_buckets(t, size) if t is not None else ():
+            rows.append(np.full(len(some), i))
+            found.append(some)
+            held += len(some)
+            if held >= BATCH:
+                yield np.concatenate(rows), np.concatenate(found)
+                rows, found, held = [], [], 0
+    if rows:
+        yield np.concatenate(rows), np.concatenate(found)
+
+
+def _scores(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(scores [text, language], number of n-grams) of texts; ``table`` is [bucket, language]."""
+    total, letters = np.zeros((len(texts), table.shape[1])), np.zeros(len(texts), np.int64)
+    for row, found in _sparse(texts, len(table)):
+        # the n-grams of a text come together, so a sparse row is a run
+        lead = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+        own = row[lead]
+        letters[own] += np.diff(np.concatenate((lead, [len(row)])))
+        for j in range(table.shape[1]):
+            total[own, j] += np.add.reduceat(table[:, j][found], lead, dtype=np.float64)
+    return total, letters
+
+
 def predict(docs: DataFrame, names: list[str], logp: np.ndarray, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``; columns of these names are replaced."""
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(np.ascontiguousarray(logp.T))
-    size = logp.shape[1]
+    spark, size = docs.sparkSession, logp.shape[1]
     kept = docs.drop(*[c for c in ("lang_pred", "score") if c != text])
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = model.value
-        for batch in batches:
-            best, sure = [], []
-            for t in batch[text]:
-                total, letters = np.zeros(len(names)), 0
-                if t is not None and names:
-                    for found in _text_buckets(t, size):
-                        letters += len(found)
-                        total += table[found].sum(axis=0, dtype=np.float64)
-                if letters:
-                    k = int(np.argmax(total))
-                    best.append(names[k])
-                    sure.append(float(1.0 / np.exp(total - total[k]).sum()))
-                else:
-                    best.append(UNKNOWN)
-                    sure.append(0.0)
-            yield batch.assign(lang_pred=pd.Series(best, index=batch.index, dtype=object), score=np.array(sure, float))
-
-    return kept.mapInPandas(score, extended(kept.schema, "lang_pred string, score double"))
+    columns = kept.columns
+    free = "_" * (1 + max(map(len, kept.columns)))  # no column starts like this
+    best_at, top_at, rest_at = (free + c for c in ("best", "top", "rest"))
+    state = extended(kept.schema, f"`{best_at}` string, `{top_at}` double, `{rest_at}` double")
+    rows = kept.withColumns({best_at: F.lit(None).cast("string"), top_at: F.lit(None).cast("double"), rest_at: F.lit(0.0)})
+    for at in range(0, len(names), GROUP):
+        model = spark.sparkContext.broadcast((names[at : at + GROUP], np.asfortranarray(logp[at : at + GROUP].T)))
+
+        def score(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+            group, table = model.value
+            for batch in batches:
+                total, letters = _scores(batch.column(text).to_pylist(), table)
+                k = total.argmax(axis=1)
+                top = total[np.arange(len(k)), k]
+                rest = np.exp(total - top[:, None]).sum(axis=1)
+                before, sums = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in (top_at, rest_at))
+                first = np.isnan(before)
+                wins = first | (top > before)
+                most = np.where(wins, top, before)
+                sums = rest * np.exp(top - most) + np.where(first, 0.0, sums * np.exp(np.where(first, 0.0, before) - most))
+                best = np.where(wins, np.array(group, object)[k], np.array(batch.column(best_at).to_pylist(), object))
+                none = letters == 0
+                made = (pa.array(best, pa.string(), mask=none), pa.array(most, mask=none), pa.array(np.where(none, 0.0, sums)))
+                yield with_columns(batch.select(columns), dict(zip((best_at, top_at, rest_at), made, strict=True)))
+
+        rows = rows.mapInArrow(score, state)
+    best, rest = F.col(f"`{best_at}`"), F.col(f"`{rest_at}`")
+    return rows.select(
+        *[F.col(f"`{c}`") for c in kept.columns], F.coalesce(best, F.lit(UNKNOWN)).alias("lang_pred"),
+        F.when(best.isNull(), F.lit(0.0)).otherwise(F.least(F.lit(1.0), 1.0 / rest)).alias("score"),
+    )
