@@ -20,9 +20,10 @@ costs a few comparisons for each member; only members that stay outside meet all
 cap on buckets or partners.
 
 Pairs whose registers agree too rarely for the threshold are not formed; the others are verified
-exactly on their shingles. Two things can lose the link of a pair at the threshold: it meets in no band
-(1.3e-5), or its registers agree in 4 standard deviations too few (3e-5). More similar pairs are lost
-less often.
+exactly on their shingles. After the first comparison the registers of the texts concerned are taken
+again, ``FINE`` of them, so that fewer pairs below the threshold are formed. A pair at the threshold loses its
+link if it meets in no band (1.3e-5), or if its registers, or its fine ones, agree by 4 standard deviations
+too rarely (3e-5 each). More similar pairs are lost less often.
 
 Defined results: texts without a word (null, empty, blank) are singletons. Classes are connected
 components of verified links and exact copies; ``class_id`` is the least doc_id of the class. Rows of
@@ -51,6 +52,8 @@ SIMILARITY = 0.8
 #: texts apart that only share a very common passage.
 BANDS, ROWS = 48, 7
 U64 = np.uint64
+#: Registers of the finer sketch of texts that stay outside a bucket's main component or meet one that does.
+FINE = 1_344
 #: Members of a bucket's main component, about, that those outside are compared with before all.
 SOME = (16, 256)
 #: Arrivals that one step over few shingles makes at once.
@@ -181,20 +184,37 @@ def _band_rows(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return mix64(out ^ np.arange(1, bands + 1, dtype=U64))
 
 
+def _lists(values: np.ndarray, mask: np.ndarray | None = None) -> pa.Array:
+    edges = pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32())
+    return pa.ListArray.from_arrays(edges, pa.array(values.reshape(-1)), mask=None if mask is None else pa.array(mask))
+
+
+def fine_sketch(texts: DataFrame, k: int) -> DataFrame:
+    """(rep, fine array<bigint>): the brief of ``FINE`` registers of texts (id, t)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "t"):
+            fine = _brief(_registers(*shingle_sets(batch.column("t"), k), FINE))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), _lists(fine)], names=["rep", "fine"])
+
+    return texts.mapInArrow(run, "rep bigint, fine array<bigint>")
+
+
+def _most_apart(registers: int, least: float) -> int:
+    """4 standard deviations below the threshold, so that a pair at it passes but for 3 in 100,000."""
+    return int(registers * (1 - least + 4 * (least * (1 - least) / registers) ** 0.5))
+
+
 def sketch(docs: DataFrame, k: int, bands: int, rows: int, text: str, doc_id: str) -> DataFrame:
     """(id, copy_key binary, bands, brief: arrays of bigint) for each row with a doc_id; bands are null
     without shingles."""
 
-    def lists(values: np.ndarray, mask: np.ndarray | None = None) -> pa.Array:
-        edges = pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32())
-        return pa.ListArray.from_arrays(edges, pa.array(values.reshape(-1)), mask=None if mask is None else pa.array(mask))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "t"):
             begins, item, weight = shingle_sets(batch.column("t"), k)
             sig = _registers(begins, item, weight, bands * rows)
             keys = [hashlib.sha256(t or b"").digest() for t in batch.column("t").cast(pa.binary()).to_pylist()]
-            columns = [batch.column("id"), pa.array(keys, pa.binary()), lists(_band_rows(sig, bands, rows).view(np.int64), np.diff(begins) == 0), lists(_brief(sig))]
+            columns = [batch.column("id"), pa.array(keys, pa.binary()), _lists(_band_rows(sig, bands, rows).view(np.int64), np.diff(begins) == 0), _lists(_brief(sig))]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "copy_key", "bands", "brief"])
 
     named = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("t"))
@@ -232,12 +252,12 @@ def _merged(comps: DataFrame | None, found: DataFrame) -> tuple[DataFrame, DataF
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """Members (bucket, rep, comp, bands, brief) of buckets with more than one component, with ``main``, that
+    """Members (bucket, rep, comp, bands, brief, fine) of buckets with more than one component, with ``main``, that
     of most members, and the bucket's size ``n``."""
     parts = members.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
     state = parts.groupBy("bucket").agg(F.max(F.struct("size", (-F.col("comp")).alias("neg"))).alias("m"), F.count("*").alias("parts"), F.sum("size").alias("n"))
     more = state.filter("parts > 1").select("bucket", (-F.col("m.neg")).alias("main"), "n")
-    return stored(members.join(more, "bucket").select("bucket", "rep", "comp", "main", "n", "bands", "brief"), "open")
+    return stored(members.join(more, "bucket").select("bucket", "rep", "comp", "main", "n", "bands", "brief", "fine"), "open")
 
 
 def classes(
@@ -256,10 +276,8 @@ def classes(
     texts = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").cast("string").alias("t"))
     texts = stored(texts.join(degree.select(F.col("rep").alias("id")), "id", "left_semi").distinct(), "texts")
     briefs = stored(reps.select("rep", "bands", "brief").join(degree, "rep"), "briefs")
-    # 4 standard deviations below the threshold, so that a pair at it passes but for 3 in 100,000
-    registers = bands * rows
-    apart = int(registers * (1 - least + 4 * (least * (1 - least) / registers) ** 0.5))
-    alike = _differing(F.col("brief"), F.col("p_brief")) <= apart
+    alike = _differing(F.col("brief"), F.col("p_brief")) <= _most_apart(bands * rows, least)
+    finely = _differing(F.col("fine"), F.col("p_fine")) <= _most_apart(FINE, least)
 
     # every member with its bucket's pivot
     slim = shared.join(briefs.select("rep", "degree", "brief"), "rep").select("bucket", "rep", "degree", "brief")
@@ -274,8 +292,10 @@ def classes(
     # buckets of one component need neither texts nor bands again
     at = shared.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("comp"))
     ends = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
-    members = _open(at.join(ends, "bucket", "left_semi").join(briefs.select("rep", "bands", "brief"), "rep"))
-    discard(shared, briefs)
+    rest = stored(at.join(ends, "bucket", "left_semi"), "rest")
+    fine = fine_sketch(texts.join(rest.select(F.col("rep").alias("id")), "id", "left_semi"), k)
+    members = _open(rest.join(briefs.select("rep", "bands", "brief"), "rep").join(fine, "rep"))
+    discard(shared, briefs, rest)
 
     # then those outside their bucket's main component: with some of its members, with more, with all others
     for some in (*SOME, None):
@@ -284,11 +304,11 @@ def classes(
         p = members if some is None else members.filter(
             (F.col("comp") == F.col("main")) & (F.pmod(F.xxhash64("rep", "bucket"), F.greatest(F.lit(1), F.floor(F.col("n") / some))) == 0)
         )
-        p = p.select("bucket", *[F.col(c).alias(f"p_{c}") for c in ("rep", "comp", "bands", "brief")])
+        p = p.select("bucket", *[F.col(c).alias(f"p_{c}") for c in ("rep", "comp", "bands", "brief", "fine")])
         # a pair that shares several buckets is formed in the least of them
         once = F.array_min(F.array_intersect("bands", "p_bands")) == F.col("bucket")
-        outside = members.filter("comp <> main").select("bucket", "rep", "comp", "bands", "brief")
-        pairs = outside.join(p, "bucket").filter((F.col("comp") != F.col("p_comp")) & alike & once)
+        outside = members.filter("comp <> main").select("bucket", "rep", "comp", "bands", "brief", "fine")
+        pairs = outside.join(p, "bucket").filter((F.col("comp") != F.col("p_comp")) & alike & once & finely)
         mine = F.col("rep") < F.col("p_rep")
         either = lambda x, y: F.when(mine, F.col(x)).otherwise(F.col(y))
         pairs = pairs.select(either("rep", "p_rep").alias("a"), either("p_rep", "rep").alias("b"), either("comp", "p_comp").alias("ca"), either("p_comp", "comp").alias("cb")).distinct()
@@ -298,11 +318,12 @@ def classes(
         found = stored(verify(tested[-1], texts, k, least), "found")
         before, (comps, new) = comps, _merged(comps, found)
         moved = members.join(new.select(F.col("node").alias("comp"), F.col("root").alias("to")), "comp", "left")
-        last, members = members, _open(moved.select("bucket", "rep", F.coalesce("to", "comp").alias("comp"), "bands", "brief"))
+        last, members = members, _open(moved.select("bucket", "rep", F.coalesce("to", "comp").alias("comp"), "bands", "brief", "fine"))
         discard(before, found, last)
     discard(texts, members, *tested)
 
-    by_copy = firsts.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("copy_key", F.coalesce("root", "rep").alias("class_id"))
+    # stored, so that the join can split a group of copies that holds a large part of all rows
+    by_copy = stored(firsts.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("copy_key", F.coalesce("root", "rep").alias("class_id")), "copies")
     own = sketches.select("id", "copy_key").join(by_copy, "copy_key", "left").select("id", F.coalesce("class_id", "id").alias("class_id"))
     result = own.groupBy(F.col("id").alias("doc_id")).agg(F.min("class_id").alias("class_id"))
     none = docs.filter(F.col(f"`{doc_id}`").isNull()).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("bigint").alias("class_id"))
