@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 EMPTY_DOC_HASH = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
 #: Fixed estimate: a run of word characters or one other visible character, a token for each four bytes.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
+#: Fixed marker of what was cut off.
 ELIDED = "\n… [elided]"
 
 
@@ -93,29 +97,182 @@ def is_retryable(status: Column, network: Column | None = None) -> Column:
     return F.coalesce(by_status, F.lit(False)) if network is None else network | F.coalesce(by_status, F.lit(False))
 
 
-def retry_after_ms(header: Column, body: Column) -> Column:
-    """Seconds in the header, else ``"retryDelay":"Ns"`` in the body; null if neither."""
-    seconds = header.try_cast("double")
-    delay = F.nullif(F.regexp_extract(body, r'"retryDelay"\s*:\s*"([0-9.]+)s"', 1), F.lit("")).try_cast("double")
-    return F.greatest(F.lit(0.0), F.coalesce(seconds, delay) * 1000)
+def retry_after_ms(header: Column, body: Column, now: Column) -> Column:
+    """Milliseconds to wait: finite seconds or an HTTP date in the header, else ``"retryDelay":"Ns"`` in the
+    body; null if none. Never below 0."""
+    given = F.trim(header)
+    seconds = F.when(F.lower(given).rlike(r"nan|inf"), F.lit(None)).otherwise(given.try_cast("double"))
+    date = F.try_to_timestamp(F.regexp_extract(given, r"^\w{3}, (.*) GMT$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
+    until = (F.unix_micros(date) - F.unix_micros(now)) / 1000
+    delay = F.nullif(F.regexp_extract(body, r'"retryDelay"\s*:\s*"(\d+(?:\.\d+)?)s"', 1), F.lit("")).try_cast("double")
+    wait = F.coalesce(seconds * 1000, until, delay * 1000)
+    return F.when(wait.isNotNull(), F.greatest(F.lit(0.0), wait))
 
 
-def failure_class(text: Column) -> Column:
-    """Ordered patterns of what a command-line provider reports; the first that matches decides."""
-    rules = (
-        ("turn-limit", r"(?i)max(imum)?[ _-]?turns"),
-        ("schema", r"(?i)schema|structured output"),
-        ("login", r"(?i)log ?in|unauthori[sz]ed|api key|authenticat"),
-        ("quota", r"(?i)quota|rate limit|usage limit|credit"),
-        ("model", r"(?i)(unknown|invalid|unsupported) model|model .*not found"),
-    )
+#: What a failure's text is searched for, in this order, and whether it ends the run.
+FAILURES = (
+    ("turn-limit", r"(?i)\"stop_reason\"\s*:\s*\"tool_use\"|max(?:imum)? turns?", False),
+    ("schema", r"(?i)error_max_structured_output_retries", False),
+    ("login", r"(?i)login|log in|not authenticated|unauthori[sz]ed|sign in", True),
+    ("quota", r"(?i)rate limit|usage limit|quota|exhaust|too many requests", True),
+    ("model", r"(?i)unknown model|model .*(not found|not supported|unavailable)", True),
+)
+
+
+def failure_class(text: Column, reports_turns: Column | None = None) -> Column:
+    """struct<class,fatal> of what a command-line provider reports; the first pattern that matches decides.
+    Turn limits are only looked for where the tool ``reports_turns``."""
     out = None
-    for name, pattern in rules:
-        out = F.when(text.rlike(pattern), name) if out is None else out.when(text.rlike(pattern), name)
-    return out.otherwise("exit-code")
+    for name, pattern, fatal in FAILURES:
+        hit = text.rlike(pattern)
+        if name == "turn-limit" and reports_turns is not None:
+            hit = hit & reports_turns
+        one = F.struct(F.lit(name).alias("class"), F.lit(fatal).alias("fatal"))
+        out = F.when(hit, one) if out is None else out.when(hit, one)
+    return out.otherwise(F.struct(F.lit("exit-code").alias("class"), F.lit(False).alias("fatal")))
+
+
+def one_line(text: Column, most: int) -> Column:
+    """White space folded, cut to ``most`` characters."""
+    return F.substring(F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " ")), 1, most)
+
+
+def _run_tokens(run: Column) -> Column:
+    return F.when(run.rlike(r"^\s"), 0).otherwise(F.greatest(F.lit(1), F.ceil(F.octet_length(run) / F.lit(4)))).cast("bigint")
+
+
+def truncate(text: Column, most: Column) -> Column:
+    """The text if it has ``most`` tokens at most; else its longest prefix that leaves room for the marker,
+    right-trimmed, and the marker; "" if not even the marker fits.
+
+    One fold over the runs of the text: whole runs while they fit, then the part of a word of which
+    the tokens are left.
+    """
+    marker_tokens = 6  # of ELIDED: an ellipsis, two brackets, and a word of 6 bytes
+    runs = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]|\s+"), F.lit(0))
+    limit = most - marker_tokens
+    start = F.struct(F.lit("").alias("kept"), limit.cast("bigint").alias("left"), F.lit(True).alias("open"))
+
+    def step(acc: Column, run: Column) -> Column:
+        cost = _run_tokens(run)
+        fits = acc["open"] & (cost <= acc["left"])
+        part = F.when(
+            acc["open"] & ~fits & (acc["left"] > 0),
+            F.concat_ws("", F.filter(F.split(run, ""), lambda c, i: F.octet_length(F.substring(run, F.lit(1), i + 1)) <= acc["left"] * 4)),
+        ).otherwise("")
+        return F.struct(
+            F.concat(acc["kept"], F.when(fits, run).otherwise(part)).alias("kept"),
+            F.when(fits, acc["left"] - cost).otherwise(acc["left"]).alias("left"), fits.alias("open"),
+        )
+
+    cut = F.concat(F.regexp_replace(F.aggregate(runs, start, step)["kept"], r"\s+$", ""), F.lit(ELIDED))
+    return F.when(most <= 0, "").when(token_count(text) <= most, text).when(most <= marker_tokens, "").otherwise(cut)
+
+
+def wrap_words(text: Column, first: str, following: str, width: int, most: int) -> Column:
+    """array<string>: lines filled greedily up to ``width`` characters, prefix included; what is left goes on
+    one line if that has ``most`` at most. Words are never split; no word gives the bare first prefix."""
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    nothing = F.array().cast("array<string>")
+    begin = F.struct(nothing.alias("lines"), F.lit(None).cast("string").alias("line"), F.lit(False).alias("rest"))
+    numbered = F.transform(words, lambda w, i: F.struct(w.alias("w"), F.array_join(F.slice(words, i + 1, F.size(words)), " ").alias("after")))
+
+    def step(acc: Column, one: Column) -> Column:
+        prefix = F.when(F.size(acc["lines"]) == 0, first).otherwise(following)
+        grown = F.concat_ws(" ", acc["line"], one["w"])
+        joins = acc["line"].isNotNull() & (F.length(grown) <= width)
+        # a new line starts: does everything that is left fit on it?
+        closed = F.when(acc["line"].isNull(), acc["lines"]).otherwise(F.concat(acc["lines"], F.array(acc["line"])))
+        next_prefix = F.when(acc["line"].isNull(), prefix).otherwise(F.lit(following))
+        whole = F.length(next_prefix) + F.length(one["after"]) <= most
+        return (
+            F.when(acc["rest"], acc)
+            .when(joins, F.struct(acc["lines"].alias("lines"), grown.alias("line"), F.lit(False).alias("rest")))
+            .when(whole, F.struct(F.concat(closed, F.array(F.concat(next_prefix, one["after"]))).alias("lines"), F.lit(None).cast("string").alias("line"), F.lit(True).alias("rest")))
+            .otherwise(F.struct(closed.alias("lines"), F.concat(next_prefix, one["w"]).alias("line"), F.lit(False).alias("rest")))
+        )
+
+    done = F.aggregate(numbered, begin, step, lambda acc: F.when(acc["line"].isNull(), acc["lines"]).otherwise(F.concat(acc["lines"], F.array(acc["line"]))))
+    return F.when(F.size(words) == 0, F.array(F.lit(first.rstrip()))).otherwise(done)
+
+
+def parameter_names(parameters: Column) -> Column:
+    """Names by position; a destructured parameter (in braces or brackets) is root<index>."""
+    return F.transform(parameters, lambda p, i: F.when(p.rlike(r"^\s*[\[{]"), F.concat(F.lit("root"), i.cast("string"))).otherwise(F.regexp_extract(p, r"^\s*(?:\.\.\.)?([^\s:?=]*)", 1)))
+
+
+def indentation(source: Column, line: Column) -> Column:
+    """White space at the head of a line (from 1) of a source."""
+    return F.regexp_extract(F.coalesce(F.get(F.split(source, "\n", -1), line - 1), F.lit("")), r"^\s*", 0)
+
+
+def end_of_line(source: Column) -> Column:
+    return F.when(F.contains(source, F.lit("\r\n")), "\r\n").otherwise("\n")
+
+
+def posix_path(path: Column) -> Column:
+    """Forward slashes; an empty path is "."."""
+    clean = F.regexp_replace(path, r"\\", "/")
+    return F.when(clean == "", ".").otherwise(clean)
+
+
+def normalized_path(path: Column) -> Column:
+    """A path without "." segments and with ".." taken out against the segment before."""
+    steps = F.filter(F.split(posix_path(path), "/"), lambda x: (x != "") & (x != "."))
+    kept = F.aggregate(
+        steps, F.array().cast("array<string>"),
+        lambda acc, x: F.when((x == "..") & (F.size(acc) > 0) & (F.element_at(F.concat(F.array(F.lit("..")), acc), -1) != ".."), F.slice(acc, 1, F.size(acc) - 1)).otherwise(F.concat(acc, F.array(x))),
+    )
+    joined = F.concat(F.when(F.startswith(path, F.lit("/")), "/").otherwise(""), F.array_join(kept, "/"))
+    return F.when(joined == "", ".").otherwise(joined)
+
+
+def workspace_id(project: Column, symbol: Column) -> Column:
+    """A project-relative symbol id as one of the workspace; without a "#" it stays."""
+    file, rest = F.substring_index(symbol, "#", 1), F.regexp_extract(symbol, r"(?s)#.*$", 0)
+    return F.when(F.contains(symbol, F.lit("#")), F.concat(normalized_path(F.concat(posix_path(project), F.lit("/"), file)), rest)).otherwise(symbol)
+
+
+def project_id(project: Column, symbol: Column) -> Column:
+    """The inverse: the id without its project's path, where it has that."""
+    prefix = F.concat(normalized_path(project), F.lit("/"))
+    return F.when(F.startswith(symbol, prefix), F.substring(symbol, F.length(prefix) + 1, F.length(symbol))).otherwise(symbol)
+
+
+def glob_pattern(glob: str) -> str:
+    """A path glob (``**``, ``*``, ``?``, ``{a,b}``) as a regular expression for whole paths."""
+    out, at, deep = "", 0, 0
+    while at < len(glob):
+        if glob.startswith("**/", at):
+            out, at = out + "(?:.*/)?", at + 3
+            continue
+        if glob.startswith("**", at):
+            out, at = out + ".*", at + 2
+            continue
+        c = glob[at]
+        deep += (c == "{") - (c == "}")
+        out += {"*": "[^/]*", "?": "[^/]", "{": "(?:", "}": ")"}.get(c) or ("|" if c == "," and deep else c if c.isalnum() or c in "/_" else "\\" + c)
+        at += 1
+    return f"^{out}$"
+
+
+def config_fingerprint(config: dict) -> str:
+    """Of the settings that shape what is documented, as compact JSON."""
+    return hashlib.sha256(json.dumps(config, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
+def salvage_json(output: Column, schema: str = "id string, verdict string, reason string") -> Column:
+    """The last answer in a provider's output: the whole text, else its last line that is one JSON object
+    with an id and a verdict, else the widest {...} in it; null if there is none."""
+    lines = F.reverse(F.split(output, r"\r?\n"))
+    embedded = F.regexp_extract(output, r"(?s)\{.*\}", 0)
+    tried = F.concat(F.array(output), lines, F.array(embedded))
+    parsed = F.transform(tried, lambda t: F.from_json(F.trim(t), schema, {"mode": "PERMISSIVE"}))
+    return F.get(F.filter(parsed, lambda x: x["id"].isNotNull() & x["verdict"].isNotNull()), F.lit(0))
 
 
 def format_cost(basis: Column, cost: Column) -> Column:
+    """Fixed phrases for each basis; dollars to six places."""
     return (
         F.when(basis == "usd", F.concat(F.lit("$"), F.format_string("%.6f", F.coalesce(cost, F.lit(0.0)))))
         .when(basis == "subscription", "subscription allowance (no monetary cost available)")

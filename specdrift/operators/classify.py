@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,3 +91,18 @@ def parse_diff(lines: DataFrame) -> DataFrame:
 def ownership_conflicts(files: DataFrame) -> DataFrame:
     """Files that more than one project claims."""
     return files.groupBy("file").agg(F.count_distinct("project").alias("projects")).filter("projects > 1")
+
+
+def union_projects(parts: list[DataFrame]) -> DataFrame:
+    """Rows of all projects."""
+    return reduce(DataFrame.unionByName, parts)
+
+
+def union_known(*parts: DataFrame) -> DataFrame:
+    """Ids that any project knows."""
+    return reduce(DataFrame.union, [p.select("id") for p in parts]).distinct()
+
+
+def members_among(targets: DataFrame, members: DataFrame) -> DataFrame:
+    """Targets (node) that are among the members."""
+    return targets.join(members, "node", "left_semi")

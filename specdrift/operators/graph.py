@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from specdrift.plans.shared import stored
+from specdrift.plans.shared import discard, stored
 
 
 def distinct_edges(calls: DataFrame) -> DataFrame:
@@ -68,25 +68,63 @@ def condense(edges: DataFrame, components: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
 
 
+#: Rounds of level relaxation in one plan.
+ROUNDS = 4
+
+
 def levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, level) of an acyclic graph: 0 without a dependency, else one more than the highest of them.
 
-    Each round takes the nodes all of whose dependencies have a level, so every edge is dropped
-    once. A cycle is an error.
+    Levels rise from 0 until none is below what its dependencies ask for. ``ROUNDS`` rounds make one
+    plan; then the levels are written, and compared with those before. A cycle makes them rise past
+    the number of nodes, which is an error. Loops of a node to itself are left out; repeated edges count
+    once; an empty graph gives no rows.
     """
     edges = stored(distinct_edges(edges).filter("src <> dst"), "edges")
-    left = stored((nodes_of(edges) if nodes is None else nodes.select("node")).distinct(), "nodes")
-    found, level = None, 0
-    while not left.isEmpty():
-        free = stored(left.join(edges.select(F.col("src").alias("node")), "node", "left_anti").withColumn("level", F.lit(level)), "free")
-        if free.isEmpty():
+    base = (nodes_of(edges) if nodes is None else nodes.select("node")).distinct()
+    now = stored(base.withColumn("level", F.lit(0)), "levels")
+    n = now.count()
+    while True:
+        after = now.select("node", F.col("level").alias("was"), "level")
+        for _ in range(ROUNDS):
+            told = after.select(F.col("node").alias("dst"), "level").join(edges, "dst").groupBy(F.col("src").alias("node")).agg((F.max("level") + 1).alias("least"))
+            after = after.join(told, "node", "left").select("node", "was", F.greatest("level", F.coalesce("least", F.lit(0))).alias("level"))
+        after = stored(after, "levels")
+        rose, top = after.agg(F.count_if(F.col("level") > F.col("was")), F.max("level")).first()
+        discard(now)
+        now = after
+        if (top or 0) >= max(1, n):
             raise ValueError("the graph has a cycle")
-        found = free if found is None else found.union(free)
-        done = free.select("node")
-        left = stored(left.join(done, "node", "left_anti"), "nodes")
-        edges = stored(edges.join(done.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"), "edges")
-        level += 1
-    return found if found is not None else left.withColumn("level", F.lit(0))
+        if not rose:
+            return now.select("node", "level")
+
+
+def propagate(edges: DataFrame, node_levels: DataFrame, own: DataFrame) -> DataFrame:
+    """(node, value): level by level, what a node has itself (own: node, value) plus the greatest value of its
+    dependencies. Values of lower levels are written before the next level reads them, as summaries are."""
+    found = None
+    for (level,) in node_levels.select("level").distinct().orderBy("level").toLocalIterator():
+        here = node_levels.filter(F.col("level") == level).join(own, "node")
+        if found is not None:
+            below = edges.join(found.select(F.col("node").alias("dst"), F.col("value").alias("below")), "dst").groupBy(F.col("src").alias("node")).agg(F.max("below").alias("below"))
+            here = here.join(below, "node", "left").withColumn("value", F.col("value") + F.coalesce("below", F.lit(0)))
+        done = stored(here.select("node", "value"), "values")
+        found = done if found is None else found.union(done)
+    return found if found is not None else own.filter(F.lit(False))
+
+
+def component_members(components: DataFrame) -> DataFrame:
+    """(component, place, node): members of each component in binary order, numbered from 1."""
+    return components.select("component", F.row_number().over(Window.partitionBy("component").orderBy("node")).alias("place"), "node")
+
+
+def call_graph(calls: DataFrame, declarations: DataFrame, spans: DataFrame) -> DataFrame:
+    """Distinct edges (src, dst): the symbol around each call, and the one it calls. Calls outside any
+    symbol, or of names that are not resolved, give no edge."""
+    target = resolve_callees(calls, declarations)
+    caller = containing(calls.select("file", "point").distinct(), spans)
+    met = calls.join(target, "call").withColumnRenamed("symbol", "dst").join(caller.withColumnRenamed("symbol", "src"), ["file", "point"])
+    return distinct_edges(met)
 
 
 def dependency_order(node_levels: DataFrame) -> DataFrame:
@@ -100,17 +138,38 @@ def dependency_order(node_levels: DataFrame) -> DataFrame:
 def resolve_callees(calls: DataFrame, declarations: DataFrame) -> DataFrame:
     """calls (call, file, name, container, static) to (call, symbol): the only declaration of the name in
     the file, else the one of the same container and static-ness."""
-    d = declarations.select("file", "name", F.col("container").alias("d_container"), F.col("static").alias("d_static"), "symbol")
-    only = F.count(F.lit(1)).over(Window.partitionBy("call")) == 1
-    same = F.col("container").eqNullSafe(F.col("d_container")) & F.col("static").eqNullSafe(F.col("d_static"))
-    return calls.join(d, ["file", "name"]).withColumn("only", only).filter(F.col("only") | same).groupBy("call").agg(F.min("symbol").alias("symbol"))
+    by_name = declarations.groupBy("file", "name").agg(F.count(F.lit(1)).alias("n"), F.min("symbol").alias("only"))
+    named = calls.join(by_name, ["file", "name"])
+    sole = named.filter("n = 1").select("call", F.col("only").alias("symbol"))
+    # absent containers are equal to each other
+    key = [F.col("file"), F.col("name"), F.coalesce(F.concat(F.lit("."), "container"), F.lit("")).alias("c"), F.coalesce("static", F.lit(False)).alias("s")]
+    same = declarations.select(*key, "symbol").groupBy("file", "name", "c", "s").agg(F.min("symbol").alias("symbol"))
+    return sole.union(named.filter("n > 1").select(*key, "call").join(same, ["file", "name", "c", "s"]).select("call", "symbol"))
+
+
+def enclosing(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """(file, point, symbols): all spans of the file around each point, outermost first."""
+    around = _around(points, spans).groupBy("file", "point").agg(F.array_sort(F.collect_list(F.struct("start", "symbol"))).alias("s"))
+    return around.select("file", "point", F.transform("s", lambda x: x["symbol"]).alias("symbols"))
 
 
 def containing(points: DataFrame, spans: DataFrame) -> DataFrame:
     """(file, point, symbol): the innermost span of the file around each point."""
-    inside = (F.col("point") >= F.col("start")) & (F.col("point") < F.col("end"))
-    met = points.join(spans, "file").filter(inside)
-    return met.groupBy("file", "point").agg(F.max_by("symbol", F.struct("start", "symbol")).alias("symbol"))
+    return _around(points, spans).groupBy("file", "point").agg(F.max_by("symbol", F.struct("start", "symbol")).alias("symbol"))
+
+
+def _around(points: DataFrame, spans: DataFrame) -> DataFrame:
+    """Points with each span around them.
+
+    A span of length up to 2^k touches at most two blocks of 2^k positions. Points look only into their
+    own block for each k that a file's spans have, so a file with many spans is not compared as a whole.
+    """
+    k = F.ceil(F.log2(F.greatest(F.col("end") - F.col("start"), F.lit(1)).cast("double"))).cast("int").alias("k")
+    sized = spans.filter("end > start").select("file", "start", "end", "symbol", k)
+    blocks = F.array_distinct(F.array(F.expr("shiftright(start, k)"), F.expr("shiftright(end - 1, k)")))
+    dealt = sized.withColumn("block", F.explode(blocks))
+    asked = points.join(sized.select("file", "k").distinct(), "file").withColumn("block", F.expr("shiftright(point, k)"))
+    return asked.join(dealt, ["file", "k", "block"]).filter((F.col("point") >= F.col("start")) & (F.col("point") < F.col("end")))
 
 
 def public_surface(exports: DataFrame, entries: DataFrame) -> DataFrame:

@@ -89,15 +89,25 @@ def price_lookup(models: DataFrame, prices: DataFrame, by_prefix: bool = True) -
     ``prices`` is the providers' price list, a few dozen rows; Spark picks the join by its size.
     """
     hit = F.startswith("model", "pattern") if by_prefix else F.contains("model", "pattern")
-    joined = models.join(prices, hit, "left")
-    keys = models.columns
-    return joined.groupBy(*keys).agg(F.min_by(F.struct("input_price", "output_price"), "ord").alias("p")).select(
-        *keys, "p.input_price", "p.output_price"
-    )
+    names = models.select("model").distinct()
+    found = names.join(prices, hit).groupBy("model").agg(F.min_by(F.struct("input_price", "output_price"), "ord").alias("p"))
+    return models.join(found, "model", "left").select(*models.columns, "p.input_price", "p.output_price")
+
+
+def totals(files: DataFrame, symbols: DataFrame, edges: DataFrame) -> DataFrame:
+    """One row: files, lines, symbols, edges."""
+    a = files.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum(F.size(F.split("content", "\n", -1))), F.lit(0)).alias("lines"))
+    return a.join(symbols.agg(F.count(F.lit(1)).alias("symbols")), F.lit(True)).join(edges.agg(F.count(F.lit(1)).alias("edges")), F.lit(True))
+
+
+def progress(events: DataFrame) -> DataFrame:
+    """(stage, outcome, n)."""
+    return events.groupBy("stage", "outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 def file_hashes(files: DataFrame) -> DataFrame:
-    return files.dropDuplicates(["file"]).select("file", F.sha2("content", 256).alias("hash"))
+    """Of each file's content; where a file has several, of the least."""
+    return files.groupBy("file").agg(F.min("content").alias("content")).select("file", F.sha2("content", 256).alias("hash"))
 
 
 def outline_targets(targets: DataFrame, least: int = 2) -> DataFrame:

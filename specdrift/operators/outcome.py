@@ -14,7 +14,8 @@ KIND_NAMES = {"variable-function": "arrow", "type-alias": "typeAlias", "getter":
 def eligible(symbols: DataFrame, kinds: list[str], visibility: list[str], least_lines: int = 3, exported_only: bool = True, pragma: str = "@docs-ignore") -> DataFrame:
     kind = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in KIND_NAMES.items() for x in p]), F.col("kind")), F.col("kind"))
     keep = kind.isin(kinds) & F.col("visibility").isin(visibility) & (body_lines(F.col("body")) >= least_lines) & ~F.col("is_test")
-    keep = keep & ~F.contains(F.coalesce("doc_raw", F.lit("")), F.lit(pragma))
+    for raw in [c for c in ("doc_raw", "note_raw") if c in symbols.columns]:
+        keep = keep & ~F.contains(F.coalesce(raw, F.lit("")), F.lit(pragma))
     return symbols.filter(keep & F.col("exported") if exported_only else keep)
 
 
@@ -22,6 +23,11 @@ def without_ignored(symbols: DataFrame, ignored: DataFrame) -> DataFrame:
     return symbols.join(ignored, ["file", "container"], "left_anti")
 
 
+def on_surface(symbols: DataFrame, surface: DataFrame) -> DataFrame:
+    """Symbols (file, name) that the public surface has."""
+    return symbols.join(surface, ["file", "name"], "left_semi")
+
+
 def in_scope(path: Column, scope: str) -> Column:
     scope = scope.removeprefix("./").rstrip("/")
     return F.lit(True) if scope in ("", ".") else (path == scope) | F.startswith(path, F.lit(scope + "/"))
@@ -40,6 +46,25 @@ def resolve_outcomes(generations: DataFrame, judgments: DataFrame) -> DataFrame:
     return generations.join(j, "symbol", "left").select("symbol", outcome.alias("outcome"))
 
 
+def judge_pairs(generations: DataFrame, symbols: DataFrame, contexts: DataFrame) -> DataFrame:
+    """What a judge is given: accepted generations (symbol, verdict) with their symbol and its context."""
+    return generations.filter("verdict = 'OK'").join(symbols, "symbol").join(contexts, "symbol")
+
+
+def validate(responses: DataFrame) -> DataFrame:
+    """Responses (id, wanted_id, verdict, reason, summary, wanted, params) with ``problem``, the first rule that
+    one breaks (null: none), and the reason a skip without one gets."""
+    summary = F.trim(F.coalesce("summary", F.lit("")))
+    ok = F.col("verdict") == "OK"
+    problem = (
+        F.when(F.col("id") != F.col("wanted_id"), "wrong id").when(~F.col("verdict").isin("OK", "SKIP"), "wrong verdict")
+        .when(ok & (summary == ""), "empty summary").when(ok & ~same_keys(F.col("wanted"), F.col("params")), "wrong parameters")
+        .when(ok & summary.rlike(r"/\*\*|\*/"), "comment markup")
+    )
+    reason = F.when((F.col("verdict") == "SKIP") & (F.trim(F.coalesce("reason", F.lit(""))) == ""), "no reason given").otherwise(F.trim("reason"))
+    return responses.withColumns({"summary": summary, "reason": reason, "problem": problem})
+
+
 def same_keys(wanted: Column, given: Column) -> Column:
     """Whether two arrays hold the same set of keys."""
     return (F.size(F.array_except(wanted, given)) == 0) & (F.size(F.array_except(given, wanted)) == 0)
@@ -63,12 +88,17 @@ def verify_plan(plan: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def failfast(attempts: DataFrame, streak: int = 3, order: list[str] | None = None) -> DataFrame:
-    """(run, halted_at): the first attempt of a run that stops it: 401, 403 or 404, or the last of
-    ``streak`` consecutive 400 or 422."""
+    """(run, halted_at): the first attempt of a run that stops it: 401, 403 or 404, the last of ``streak``
+    consecutive 400 or 422, one marked ``fatal``, or one whose ``wait_ms`` is over a minute (where the
+    log has these columns)."""
     w = Window.partitionBy("run").orderBy(*order or ["ord"])
     bad = F.col("status").isin(400, 422).cast("int")
     run_of_bad = F.sum(bad).over(w.rowsBetween(-(streak - 1), 0)) == streak
     halt = F.col("status").isin(401, 403, 404) | run_of_bad
+    if "fatal" in attempts.columns:
+        halt = halt | F.coalesce("fatal", F.lit(False))
+    if "wait_ms" in attempts.columns:
+        halt = halt | F.coalesce(F.col("wait_ms") > 60_000, F.lit(False))
     return attempts.withColumn("halt", halt).filter("halt").groupBy("run").agg(F.min("ord").alias("halted_at"))
 
 

@@ -3,9 +3,7 @@
 The given tables are read as the model's tables through a few projections (``VIEWS``): documents stand
 for symbols and their recorded baseline, events and orders for call edges, line items for call sites,
 labels for evaluation cases. The projections are SQL that Spark and DuckDB read alike, so a query and
-its oracle start from the same rows. ``edges_cyc``, ``edges_dag`` and the exports of
-``public_surface`` are reduced: a filter on ids and folded keys keep their graphs small. The queries
-that end in ``_all`` run the same operators over all rows, with keys that grow with the table.
+its oracle start from the same rows. Graphs are made of all rows, with keys that grow with the table.
 """
 
 from __future__ import annotations
@@ -36,16 +34,13 @@ VIEWS = {
         FROM documents WHERE doc_id % 11 <> 0""",
     "known": "SELECT source || '#' || CAST(doc_id AS STRING) AS id FROM documents WHERE doc_id % 13 = 0 AND doc_id % 3 = 0",
     "hunks": "SELECT source AS path, min(doc_id) + 20 AS start, min(doc_id) + 420 AS `end` FROM documents GROUP BY source",
-    "edges_cyc": "SELECT user_id % 25 AS src, (user_id * 7 + event_id) % 25 AS dst FROM events WHERE event_id % 97 = 0",
-    "edges_dag": """SELECT DISTINCT o_orderkey % 600 AS src, CAST((o_orderkey % 600 - o_orderkey % 2) / 2 AS BIGINT) - 1 - o_custkey % 7 AS dst FROM orders
-        WHERE CAST((o_orderkey % 600 - o_orderkey % 2) / 2 AS BIGINT) - 1 - o_custkey % 7 >= 0""",
-    "edges_cyc_all": "SELECT user_id AS src, (user_id * 7 + event_id) % (SELECT count(*) FROM events) AS dst FROM events",
-    "edges_dag_all": """SELECT DISTINCT greatest(o_orderkey, o_custkey) AS src, least(o_orderkey, o_custkey) AS dst FROM orders
+    "edges_cyc": "SELECT user_id AS src, (user_id * 7 + event_id) % (SELECT count(*) FROM events) AS dst FROM events",
+    "edges_dag": """SELECT DISTINCT greatest(o_orderkey, o_custkey) AS src, least(o_orderkey, o_custkey) AS dst FROM orders
         WHERE o_orderkey <> o_custkey""",
-    "exports_all": """SELECT DISTINCT 'f' || CAST(o_custkey AS STRING) AS file, 'n' || CAST(o_orderkey % 9 AS STRING) AS name,
+    "exports": """SELECT DISTINCT 'f' || CAST(o_custkey AS STRING) AS file, 'n' || CAST(o_orderkey % 9 AS STRING) AS name,
         CASE WHEN o_orderkey % 3 > 0 THEN 'f' || CAST((o_orderkey * 31 + o_custkey) % (SELECT max(o_custkey) + 1 FROM orders) AS STRING) END AS to_file,
         CASE WHEN o_orderkey % 3 > 0 THEN 'n' || CAST((o_orderkey + o_custkey) % 9 AS STRING) END AS to_name FROM orders""",
-    "entry_files_all": "SELECT DISTINCT 'f' || CAST(o_custkey AS STRING) AS file FROM orders WHERE o_custkey % 10 = 1",
+    "entry_files": "SELECT DISTINCT 'f' || CAST(o_custkey AS STRING) AS file FROM orders WHERE o_custkey % 10 = 1",
     "sites": """SELECT l_partkey AS callee, l_suppkey AS module, l_orderkey AS k1, l_linenumber AS k2, l_quantity AS k3,
         l_extendedprice AS k4, l_tax AS k5, l_discount AS k6 FROM lineitem""",
     "cases": "SELECT quality = 1 AS human_useful, CASE WHEN toxic = 0 THEN 'ACCEPT' ELSE 'REJECT' END AS verdict FROM labels",
@@ -308,72 +303,11 @@ def caller_containment(spark, sf):
     return G.containing(docs.select(F.col("source").alias("file"), (F.col("doc_id") * 10 + 3).alias("point")).distinct(), spans)
 
 
-_EXPORTS = """x AS (SELECT 'f' || (o_orderkey % 40) AS file, 'n' || (o_custkey % 9) AS name,
-  CASE WHEN o_orderkey % 3 > 0 THEN 'f' || ((o_orderkey + o_custkey) % 40) END AS to_file,
-  CASE WHEN o_orderkey % 3 > 0 THEN 'n' || (o_orderkey % 9) END AS to_name FROM orders)"""
-
-
-@query("public_surface", f"""WITH RECURSIVE {_EXPORTS},
-seen AS (SELECT file, name FROM x WHERE file IN ('f1', 'f2') UNION SELECT x.to_file, x.to_name FROM seen s JOIN x ON s.file = x.file AND s.name = x.name WHERE x.to_file IS NOT NULL)
-SELECT DISTINCT s.file, s.name FROM seen s JOIN x ON s.file = x.file AND s.name = x.name WHERE x.to_file IS NULL""")
+@query("public_surface", _with("exports entry_files", "").rstrip() + """, seen AS (SELECT file, name FROM exports WHERE file IN (SELECT file FROM entry_files)
+ UNION SELECT x.to_file, x.to_name FROM seen s JOIN exports x ON s.file = x.file AND s.name = x.name WHERE x.to_file IS NOT NULL)
+SELECT DISTINCT s.file, s.name FROM seen s JOIN exports x ON s.file = x.file AND s.name = x.name WHERE x.to_file IS NULL""")
 def public_surface(spark, sf):
-    o = table(spark, sf, "orders")
-    label = lambda p, c: F.concat(F.lit(p), c.cast("string"))
-    again = F.col("o_orderkey") % 3 > 0
-    exports = o.select(
-        label("f", F.col("o_orderkey") % 40).alias("file"), label("n", F.col("o_custkey") % 9).alias("name"),
-        F.when(again, label("f", (F.col("o_orderkey") + F.col("o_custkey")) % 40)).alias("to_file"),
-        F.when(again, label("n", F.col("o_orderkey") % 9)).alias("to_name"),
-    ).distinct()
-    return G.public_surface(exports, exports.filter("file in ('f1', 'f2')").select("file").distinct())
-
-
-# the same operators over all rows
-
-
-@query("distinct_edges_all", _with("edges_cyc_all", "SELECT DISTINCT src, dst FROM edges_cyc_all"))
-def distinct_edges_all(spark, sf):
-    return G.distinct_edges(view(spark, sf, "edges_cyc_all"))
-
-
-@query("reverse_edges_all", _with("edges_dag_all", "SELECT dst AS src, src AS dst FROM edges_dag_all"))
-def reverse_edges_all(spark, sf):
-    return G.reverse_edges(view(spark, sf, "edges_dag_all"))
-
-
-def _cyc_all_sql(body: str) -> str:
-    return f"WITH RECURSIVE edges_cyc_all AS ({_duck('edges_cyc_all')})" + _CLOSURE.replace("edges_cyc", "edges_cyc_all") + body
-
-
-@query("scc_all", _cyc_all_sql("SELECT node, component FROM scc"))
-def scc_all(spark, sf):
-    return G.strongly_connected(view(spark, sf, "edges_cyc_all"))
-
-
-@query("condensed_dag_all", _cyc_all_sql("SELECT DISTINCT a.component AS src, b.component AS dst FROM e JOIN scc a ON e.src = a.node JOIN scc b ON e.dst = b.node WHERE a.component <> b.component"))
-def condensed_dag_all(spark, sf):
-    edges = view(spark, sf, "edges_cyc_all")
-    return G.condense(G.distinct_edges(edges), G.strongly_connected(edges))
-
-
-_LEVELS_ALL = _LEVELS.replace(_duck("edges_dag"), _duck("edges_dag_all"))
-
-
-@query("topo_levels_all", _LEVELS_ALL + "SELECT node, level FROM lv")
-def topo_levels_all(spark, sf):
-    return G.levels(view(spark, sf, "edges_dag_all"))
-
-
-@query("dependency_order_all", _LEVELS_ALL + "SELECT node, level, row_number() OVER (ORDER BY level, node) AS position FROM lv")
-def dependency_order_all(spark, sf):
-    return G.dependency_order(G.levels(view(spark, sf, "edges_dag_all")))
-
-
-@query("public_surface_all", _with("exports_all entry_files_all", "").rstrip() + """, seen AS (SELECT file, name FROM exports_all WHERE file IN (SELECT file FROM entry_files_all)
- UNION SELECT x.to_file, x.to_name FROM seen s JOIN exports_all x ON s.file = x.file AND s.name = x.name WHERE x.to_file IS NOT NULL)
-SELECT DISTINCT s.file, s.name FROM seen s JOIN exports_all x ON s.file = x.file AND s.name = x.name WHERE x.to_file IS NULL""")
-def public_surface_all(spark, sf):
-    return G.public_surface(view(spark, sf, "exports_all"), view(spark, sf, "entry_files_all"))
+    return G.public_surface(view(spark, sf, "exports"), view(spark, sf, "entry_files"))
 
 
 # ------------------------------------------------------------------ context
@@ -442,13 +376,6 @@ def callee_bodies(spark, sf):
     return X.callee_bodies(view(spark, sf, "edges_dag"), bodies)
 
 
-@query("callee_bodies_all", _with("edges_dag_all", """SELECT src, dst, rank, text AS body FROM (SELECT src, dst, CAST(row_number() OVER (PARTITION BY src ORDER BY dst) AS INT) AS rank FROM edges_dag_all)
-JOIN documents ON dst = doc_id WHERE rank <= 2 AND trim(text) <> ''"""))
-def callee_bodies_all(spark, sf):
-    bodies = table(spark, sf, "documents").select(F.col("doc_id").alias("symbol"), F.col("text").alias("body"))
-    return X.callee_bodies(view(spark, sf, "edges_dag_all"), bodies)
-
-
 @query("shared_outline_targets", "SELECT source AS file, count(*) AS targets FROM documents WHERE doc_id % 5 = 0 GROUP BY source HAVING count(*) >= 2")
 def shared_outline_targets(spark, sf):
     return M.outline_targets(table(spark, sf, "documents").filter("doc_id % 5 = 0").select(F.col("source").alias("file")))

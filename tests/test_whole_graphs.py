@@ -10,8 +10,8 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.mark.parametrize(("name", "source", "rows"), [
-    ("edges_cyc_all", "events", "count(*)"),
-    ("edges_dag_all", "orders", "count(DISTINCT (greatest(o_orderkey, o_custkey), least(o_orderkey, o_custkey))) FILTER (o_orderkey <> o_custkey)"),
+    ("edges_cyc", "events", "count(*)"),
+    ("edges_dag", "orders", "count(DISTINCT (greatest(o_orderkey, o_custkey), least(o_orderkey, o_custkey))) FILTER (o_orderkey <> o_custkey)"),
 ])
 def test_every_row_is_an_edge(spark, name, source, rows):
     for sf in (SF, "/root/testdata/sf0.01"):
@@ -20,13 +20,13 @@ def test_every_row_is_an_edge(spark, name, source, rows):
 
 
 def test_graphs_grow_with_the_table(spark):
-    for name in ("edges_cyc_all", "edges_dag_all", "exports_all"):
+    for name in ("edges_cyc", "edges_dag", "exports"):
         small, large = (catalog.view(spark, sf, name).distinct().count() for sf in (SF, "/root/testdata/sf0.01"))
         assert large >= 5 * small
 
 
 def test_components_against_brute_force(spark):
-    edges = {(r["src"], r["dst"]) for r in catalog.view(spark, SF, "edges_cyc_all").collect()}
+    edges = {(r["src"], r["dst"]) for r in catalog.view(spark, SF, "edges_cyc").collect()}
     after: dict = {}
     for a, b in edges:
         after.setdefault(a, set()).add(b)
@@ -42,8 +42,8 @@ def test_components_against_brute_force(spark):
 
     reached = {n: reach(n) for e in edges for n in e}
     want = {n: min(m for m in r if n in reached[m]) for n, r in reached.items()}
-    got = {r["node"]: r["component"] for r in catalog.QUERIES["scc_all"](spark, SF).collect()}
+    got = {r["node"]: r["component"] for r in catalog.QUERIES["scc"](spark, SF).collect()}
     assert got == want
-    dag = catalog.QUERIES["condensed_dag_all"](spark, SF)
+    dag = catalog.QUERIES["condensed_dag"](spark, SF)
     assert {tuple(r) for r in dag.select("src", "dst").collect()} == {(want[a], want[b]) for a, b in edges if want[a] != want[b]}
     assert G.levels(dag).count() == G.nodes_of(dag).count()
