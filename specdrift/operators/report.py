@@ -21,13 +21,14 @@ def _json(*fields: Column) -> Column:
     return F.to_json(F.struct(*fields))
 
 
-_ROW = [F.col("id"), F.col("status"), F.col("file_path").alias("filePath"), F.col("start_line").alias("startLine")]
+def _row() -> Column:
+    return _json(F.col("id"), F.col("status"), F.col("file_path").alias("filePath"), F.col("start_line").alias("startLine"))
 
 
 def as_json(results: DataFrame, issues: DataFrame) -> DataFrame:
     """(part, json): the summary, and one object for each issue and each result."""
     summary = status_summary(results).select(F.lit("summary").alias("part"), _json(*STATUSES).alias("json"))
-    return summary.union(issues.select(F.lit("issues"), _json(*_ROW))).union(results.select(F.lit("results"), _json(*_ROW)))
+    return summary.union(issues.select(F.lit("issues"), _row())).union(results.select(F.lit("results"), _row()))
 
 
 def sarif(issues: DataFrame) -> DataFrame:
