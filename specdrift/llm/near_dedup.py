@@ -13,17 +13,16 @@ than the text's latest register, so long texts cost little more than one arrival
 Registers are grouped into bands; texts that agree in a band are candidates. Copies are collapsed
 first, so a group of copies is one member of its buckets. All members of a bucket are compared with a
 pivot, the member with the largest buckets over all bands. Where that leaves a bucket in several
-components, the members outside the one with most members are compared with about 16 of its members,
-those still outside with about 256, and what is then left with every member of another component. So
-every pair of a bucket that is not in one component is compared, and a large group of near copies
+components, the members outside the one with most members are compared with about 64 of its members,
+and those still outside with every member of another component. So every pair of a bucket that is not in one component is compared, and a large group of near copies
 costs a few comparisons for each member; only members that stay outside meet all others. There is no
 cap on buckets or partners.
 
 Pairs whose registers agree too rarely for the threshold are not formed; the others are verified
-exactly on their shingles. After the first comparison the registers of the texts concerned are taken
-again, ``FINE`` of them, so that fewer pairs below the threshold are formed. A pair at the threshold loses its
-link if it meets in no band (1.3e-5), or if its registers, or its fine ones, agree by 4 standard deviations
-too rarely (3e-5 each). More similar pairs are lost less often.
+exactly on their shingles. After the first comparison one bit is taken of each of ``FINE`` registers of the
+texts concerned, which tells pairs below the threshold better from those above. A pair at the threshold
+loses its link if it meets in no band (1.3e-5), or if the registers that it is tested by agree by 4 standard
+deviations too rarely (3e-5). More similar pairs are lost less often.
 
 Defined results: texts without a word (null, empty, blank) are singletons. Classes are connected
 components of verified links and exact copies; ``class_id`` is the least doc_id of the class. Rows of
@@ -36,6 +35,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +55,7 @@ U64 = np.uint64
 #: Registers of the finer sketch of texts that stay outside a bucket's main component or meet one that does.
 FINE = 1_344
 #: Members of a bucket's main component, about, that those outside are compared with before all.
-SOME = (16, 256)
+SOME = (64,)
 #: Arrivals that one step over few shingles makes at once.
 AT_ONCE = 65_536
 _NEVER = U64(0xFFFFFFFFFFFFFFFF)
@@ -189,19 +189,24 @@ def _lists(values: np.ndarray, mask: np.ndarray | None = None) -> pa.Array:
     return pa.ListArray.from_arrays(edges, pa.array(values.reshape(-1)), mask=None if mask is None else pa.array(mask))
 
 
+_WORDS = [f"f{i}" for i in range(FINE // 64)]
+
+
 def fine_sketch(texts: DataFrame, k: int) -> DataFrame:
-    """(rep, fine array<bigint>): the brief of ``FINE`` registers of texts (id, t)."""
+    """(rep, f0, f1, ...): a bit of each of ``FINE`` registers of texts (id, t), 64 to a bigint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "t"):
-            fine = _brief(_registers(*shingle_sets(batch.column("t"), k), FINE))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), _lists(fine)], names=["rep", "fine"])
+            bits = (mix64(_registers(*shingle_sets(batch.column("t"), k), FINE)) & U64(1)).astype(bool)
+            words = np.packbits(bits, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *[pa.array(np.ascontiguousarray(w)) for w in words.T]], names=["rep", *_WORDS])
 
-    return texts.mapInArrow(run, "rep bigint, fine array<bigint>")
+    return texts.mapInArrow(run, "rep bigint, " + ", ".join(f"{w} bigint" for w in _WORDS))
 
 
 def _most_apart(registers: int, least: float) -> int:
-    """4 standard deviations below the threshold, so that a pair at it passes but for 3 in 100,000."""
+    """4 standard deviations below the threshold, so that a pair at it passes but for 3 in 100,000. ``least`` is
+    the share of registers that a pair at the threshold has in common."""
     return int(registers * (1 - least + 4 * (least * (1 - least) / registers) ** 0.5))
 
 
@@ -252,12 +257,12 @@ def _merged(comps: DataFrame | None, found: DataFrame) -> tuple[DataFrame, DataF
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """Members (bucket, rep, comp, bands, brief, fine) of buckets with more than one component, with ``main``, that
+    """Members (bucket, rep, comp, bands, and fine bits) of buckets with more than one component, with ``main``, that
     of most members, and the bucket's size ``n``."""
     parts = members.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
     state = parts.groupBy("bucket").agg(F.max(F.struct("size", (-F.col("comp")).alias("neg"))).alias("m"), F.count("*").alias("parts"), F.sum("size").alias("n"))
     more = state.filter("parts > 1").select("bucket", (-F.col("m.neg")).alias("main"), "n")
-    return stored(members.join(more, "bucket").select("bucket", "rep", "comp", "main", "n", "bands", "brief", "fine"), "open")
+    return stored(members.join(more, "bucket").select("bucket", "rep", "comp", "main", "n", "bands", *_WORDS), "open")
 
 
 def classes(
@@ -277,12 +282,15 @@ def classes(
     texts = stored(texts.join(degree.select(F.col("rep").alias("id")), "id", "left_semi").distinct(), "texts")
     briefs = stored(reps.select("rep", "bands", "brief").join(degree, "rep"), "briefs")
     alike = _differing(F.col("brief"), F.col("p_brief")) <= _most_apart(bands * rows, least)
-    finely = _differing(F.col("fine"), F.col("p_fine")) <= _most_apart(FINE, least)
+    # of two different registers, half have the same bit
+    bits = reduce(lambda x, y: x + y, [F.bit_count(F.col(w).bitwiseXOR(F.col(f"p_{w}"))) for w in _WORDS])
+    finely = bits <= _most_apart(FINE, (1 + least) / 2)
 
     # every member with its bucket's pivot
-    slim = shared.join(briefs.select("rep", "degree", "brief"), "rep").select("bucket", "rep", "degree", "brief")
-    best = slim.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("rep")).alias("neg"), "brief")).alias("p"))
-    pivots = best.select("bucket", (-F.col("p.neg")).alias("pivot"), F.col("p.brief").alias("p_brief"))
+    slim = shared.join(briefs.select("rep", "brief"), "rep").select("bucket", "rep", "brief")
+    best = shared.join(degree, "rep").groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("rep")).alias("neg"))).alias("p"))
+    best = best.select("bucket", (-F.col("p.neg")).alias("rep"))
+    pivots = best.join(briefs.select("rep", F.col("brief").alias("p_brief")), "rep").withColumnRenamed("rep", "pivot")
     pairs = slim.join(pivots, "bucket").filter((F.col("rep") != F.col("pivot")) & alike)
     pairs = pairs.select(F.least("pivot", "rep").alias("a"), F.greatest("pivot", "rep").alias("b")).distinct()
     tested = [stored(pairs.select("a", "b", F.col("a").alias("ca"), F.col("b").alias("cb")), "pairs")]
@@ -294,7 +302,7 @@ def classes(
     ends = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("bucket")
     rest = stored(at.join(ends, "bucket", "left_semi"), "rest")
     fine = fine_sketch(texts.join(rest.select(F.col("rep").alias("id")), "id", "left_semi"), k)
-    members = _open(rest.join(briefs.select("rep", "bands", "brief"), "rep").join(fine, "rep"))
+    members = _open(rest.join(briefs.select("rep", "bands"), "rep").join(fine, "rep"))
     discard(shared, briefs, rest)
 
     # then those outside their bucket's main component: with some of its members, with more, with all others
@@ -304,11 +312,12 @@ def classes(
         p = members if some is None else members.filter(
             (F.col("comp") == F.col("main")) & (F.pmod(F.xxhash64("rep", "bucket"), F.greatest(F.lit(1), F.floor(F.col("n") / some))) == 0)
         )
-        p = p.select("bucket", *[F.col(c).alias(f"p_{c}") for c in ("rep", "comp", "bands", "brief", "fine")])
-        # a pair that shares several buckets is formed in the least of them
+        p = p.select("bucket", *[F.col(c).alias(f"p_{c}") for c in ("rep", "comp", "bands", *_WORDS)])
+        # a pair of two outside is formed from one side, and one that shares several buckets in the least of them
+        one_side = (F.col("p_comp") == F.col("main")) | (F.col("rep") < F.col("p_rep"))
         once = F.array_min(F.array_intersect("bands", "p_bands")) == F.col("bucket")
-        outside = members.filter("comp <> main").select("bucket", "rep", "comp", "bands", "brief", "fine")
-        pairs = outside.join(p, "bucket").filter((F.col("comp") != F.col("p_comp")) & alike & once & finely)
+        outside = members.filter("comp <> main").select("bucket", "rep", "comp", "main", "bands", *_WORDS)
+        pairs = outside.join(p, "bucket").filter((F.col("comp") != F.col("p_comp")) & one_side & finely & once)
         mine = F.col("rep") < F.col("p_rep")
         either = lambda x, y: F.when(mine, F.col(x)).otherwise(F.col(y))
         pairs = pairs.select(either("rep", "p_rep").alias("a"), either("p_rep", "rep").alias("b"), either("comp", "p_comp").alias("ca"), either("p_comp", "comp").alias("cb")).distinct()
@@ -318,7 +327,7 @@ def classes(
         found = stored(verify(tested[-1], texts, k, least), "found")
         before, (comps, new) = comps, _merged(comps, found)
         moved = members.join(new.select(F.col("node").alias("comp"), F.col("root").alias("to")), "comp", "left")
-        last, members = members, _open(moved.select("bucket", "rep", F.coalesce("to", "comp").alias("comp"), "bands", "brief", "fine"))
+        last, members = members, _open(moved.select("bucket", "rep", F.coalesce("to", "comp").alias("comp"), "bands", *_WORDS))
         discard(before, found, last)
     discard(texts, members, *tested)
 
