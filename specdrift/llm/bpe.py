@@ -40,7 +40,7 @@ from specdrift.llm.textnum import sliced, with_columns
 #: Fixed pattern of the byte-level pre-tokenizer.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Chunks of text, and pieces, in a generation of a worker's memory.
-MEMORY = 250_000
+MEMORY = 120_000
 _NEVER = 1 << 60
 
 
@@ -263,21 +263,22 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with an array<int> column ``ids``."""
+def encode_documents(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded_sha256: str | None = None) -> DataFrame:
+    """``docs`` with an array<int> column ``ids``, and, where it is named, the SHA-256 of the text that they
+    decode to: a check in the same pass, so that a worker holds one vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         for batch in sliced(batches, text, 4_000_000):
             found = [vocab.encode(t or "")[0] for t in batch.column(text).to_pylist()]
             ends = np.concatenate(([0], np.cumsum([len(f) for f in found])))
-            column = pa.ListArray.from_arrays(
-                pa.array(ends, pa.int32()), pa.array(np.concatenate([*found, np.empty(0, np.int32)]), pa.int32())
-            )
-            yield with_columns(batch, {ids: column})
+            made = {ids: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*found, np.empty(0, np.int32)]), pa.int32()))}
+            if decoded_sha256:
+                made[decoded_sha256] = pa.array([hashlib.sha256(vocab.decode(f).encode()).hexdigest() for f in found], pa.string())
+            yield with_columns(batch, made)
 
-    kept = docs.drop(ids)
-    return kept.mapInArrow(run, extended(kept.schema, f"`{ids}` array<int>"))
+    kept = docs.drop(ids, *[decoded_sha256] if decoded_sha256 else [])
+    return kept.mapInArrow(run, extended(kept.schema, f"`{ids}` array<int>" + (f", `{decoded_sha256}` string" if decoded_sha256 else "")))
 
 
 def decode_documents(docs: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

@@ -14,9 +14,9 @@ Registers are grouped into bands; texts that agree in a band are candidates. Cop
 first, so a group of copies is one member of its buckets. All members of a bucket are compared with a
 pivot, the member with the largest buckets over all bands. Where that leaves a bucket in several
 components, the members outside the one with most members are compared with about 64 of its members,
-and those still outside with every member of another component. So every pair of a bucket that is not in one component is compared, and a large group of near copies
-costs a few comparisons for each member; only members that stay outside meet all others. There is no
-cap on buckets or partners.
+and those still outside with every member of another component. So every pair of a bucket that is not
+in one component is compared, and a large group of near copies costs a few comparisons for each member;
+only members that stay outside meet all others. There is no cap on buckets or partners.
 
 Pairs whose registers agree too rarely for the threshold are not formed; the others are verified
 exactly on their shingles. After the first comparison one bit is taken of each of ``FINE`` registers of the
