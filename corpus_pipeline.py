@@ -63,9 +63,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and token ids of each text, and the SHA-256 of what they decode to."""
-    encoded = bpe.encode_documents(docs.select("doc_id", "text"), tokenizer_path())
-    decoded = bpe.decode_documents(encoded.select("doc_id", "ids"), tokenizer_path())
-    return decoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = bpe.encode_documents(docs.select("doc_id", "text"), tokenizer_path(), decoded_sha256="decoded_sha256")
+    return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 STAGES = [
