@@ -17,14 +17,18 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes the documents' words as flat files of 16-bit ids, and counts tokens from those alone."""
+    """Writes the documents' words as flat files of 16-bit ids, counts tokens from those alone, and says of
+    which document each count is."""
     path, separator = shared_dir(spark, "tokens"), 65_535
-    token_counts.write_token_files(token_counts.word_tokens(table(spark, sf_dir, "documents")), path, separator)
-    return token_counts.count_tokens(spark, path, separator).select("n_tokens", "ended")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    token_counts.write_token_files(token_counts.word_tokens(docs, shards=shards), path, separator, order="key")
+    counts = token_counts.count_tokens(spark, path, separator).withColumn("shard", F.regexp_extract("file", "/shard=([0-9]+)/", 1).cast("int"))
+    return counts.join(token_counts.file_keys(docs, shards), ["shard", "document"]).select("doc_id", "n_tokens", "ended")
 
 
 OP1_SQL = r"""
-SELECT CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens, true AS ended
+SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens, true AS ended
 FROM documents
 """
 

@@ -174,9 +174,18 @@ def test_token_counts_stitch_blocks(spark, block):
 def test_token_files_round_trip(spark):
     docs = spark.createDataFrame([(None,), ("",), ("a b c",), ("x " * 5000,)], "text string")
     path = shared_dir(spark, "tokens")
-    token_counts.write_token_files(token_counts.word_tokens(docs), path, 65_535, rows=2)
+    token_counts.write_token_files(token_counts.word_tokens(docs), path, 65_535)
     got = token_counts.count_tokens(spark, path, 65_535, block=64).collect()
     assert sorted(r["n_tokens"] for r in got) == [0, 0, 3, 5000] and all(r["ended"] for r in got)
+    # the blocks of one file are read by several tasks
+    one = spark.createDataFrame([("x " * 5000,)] * 3, "text string").coalesce(1)
+    path = shared_dir(spark, "tokens")
+    token_counts.write_token_files(token_counts.word_tokens(one), path, 65_535)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select(F.col("path").alias("file"), "length")
+    scanned = token_counts.scan_ranges(files.withColumn("file", F.regexp_replace("file", "^file:/+", "file:///")), 65_535, block=64, tasks=4)
+    assert files.count() == 1 and scanned.select(F.spark_partition_id()).distinct().count() == 4
+    assert [r["n_tokens"] for r in token_counts.documents(scanned).collect()] == [5000] * 3
+    assert token_counts.count_tokens(spark, path, 65_535, block=1).count() == 3
 
 
 def test_mixing_solves_the_entropy_problem(spark):
