@@ -44,7 +44,7 @@ WIDEN = 1.03
 #: A query is done with a block when this share of the block, and 8 k rows at least, are verified.
 VERIFIED = 0.07
 BLOCK_ROWS = 16_384
-QUERY_ROWS = 4_096
+QUERY_ROWS = 1_024
 SEED = 17
 
 
@@ -82,7 +82,8 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
         for (dim, _), parts in sorted(held.items()):
             yield out(dim, parts)
 
-    return dealt.mapInArrow(pack, "ids binary, dim int, data binary")
+    # no more tasks than blocks: every task of rows meets every task of queries
+    return dealt.mapInArrow(pack, "ids binary, dim int, data binary").coalesce(n)
 
 
 def rotations(dim: int, seed: int = SEED) -> np.ndarray:
