@@ -148,7 +148,7 @@ def truncate(text: Column, most: Column) -> Column:
     One fold over the runs of the text: whole runs while they fit, then the part of a word of which
     the tokens are left.
     """
-    marker_tokens = 6  # of ELIDED: an ellipsis, two brackets, and a word of 6 bytes
+    marker_tokens = 5  # of ELIDED: an ellipsis, two brackets, and two for a word of 6 bytes
     runs = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]|\s+"), F.lit(0))
     limit = most - marker_tokens
     start = F.struct(F.lit("").alias("kept"), limit.cast("bigint").alias("left"), F.lit(True).alias("open"))

@@ -171,7 +171,7 @@ _TOKENS = r"coalesce(list_sum(list_transform(regexp_extract_all({0}, '[\p{{L}}\p
 
 
 @query("truncate_tokens", f"""WITH c AS (SELECT conv_id, turn, role, left(text, 300) AS t FROM conversations),
-fit AS (SELECT c.conv_id, c.turn, c.role, c.t, max(i) AS n FROM c, LATERAL (SELECT unnest(generate_series(0, length(c.t))) AS i) WHERE {_TOKENS.format("left(c.t, i)")} <= 14 GROUP BY ALL)
+fit AS (SELECT c.conv_id, c.turn, c.role, c.t, max(i) AS n FROM c, LATERAL (SELECT unnest(generate_series(0, length(c.t))) AS i) WHERE {_TOKENS.format("left(c.t, i)")} <= 15 GROUP BY ALL)
 SELECT conv_id, turn, role, CASE WHEN {_TOKENS.format("t")} <= 20 THEN t ELSE rtrim(left(t, n), ' ' || chr(10) || chr(9) || chr(13)) || chr(10) || '… [elided]' END AS text FROM fit""")
 def truncate_tokens(spark, sf):
     cut = T.truncate(F.substring("text", 1, 300), F.lit(20))

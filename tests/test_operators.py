@@ -42,14 +42,20 @@ def test_changed_since_keeps_orphans_by_path(spark):
 
 
 def test_components_and_levels(spark):
-    edges = spark.createDataFrame([("mutualA", "mutualB"), ("mutualB", "mutualA"), ("orchestrate", "leaf"), ("orchestrate", "mutualA")], "src string, dst string")
+    edges = spark.createDataFrame([("ring1", "ring2"), ("ring2", "ring3"), ("ring3", "ring1"), ("main", "tool"), ("main", "ring2"), ("ring3", "tool")], "src string, dst string")
     scc = G.strongly_connected(edges)
     found = {r["node"]: r["component"] for r in scc.collect()}
-    assert found == {"mutualA": "mutualA", "mutualB": "mutualA", "orchestrate": "orchestrate", "leaf": "leaf"}
+    assert found == {"ring1": "ring1", "ring2": "ring1", "ring3": "ring1", "main": "main", "tool": "tool"}
+    assert [r["node"] for r in G.component_members(scc).filter("component = 'ring1'").orderBy("place").collect()] == ["ring1", "ring2", "ring3"]
     nodes = scc.select(F.col("component").alias("node"))
-    assert {r["node"]: r["level"] for r in G.levels(G.condense(edges, scc), nodes).collect()} == {"leaf": 0, "mutualA": 0, "orchestrate": 1}
+    dag = G.condense(edges, scc)
+    levels = G.levels(dag, nodes)
+    assert {r["node"]: r["level"] for r in levels.collect()} == {"tool": 0, "ring1": 1, "main": 2}
+    own = nodes.distinct().select("node", F.when(F.col("node") == "main", 5).otherwise(2).alias("value"))
+    assert {r["node"]: r["value"] for r in G.propagate(dag, levels, own).collect()} == {"tool": 2, "ring1": 4, "main": 9}
     with pytest.raises(ValueError):
         G.levels(edges)
+    assert G.levels(edges.limit(0)).count() == 0
 
 
 def test_star_has_two_levels(spark):
