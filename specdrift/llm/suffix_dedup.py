@@ -451,7 +451,7 @@ def _occurrences(texts: DataFrame, cuts: list[bytes], length: int, seed: int, ch
             below, above = cuts[r - 1] if r else b"", cuts[r] if r < len(cuts) else None
             yield from settled(LoserTree([front_decode(b) for b in pieces.pop(r)]), length, seed, below, above, chunk)
 
-    return texts.mapInArrow(runs, ddl).repartition(len(cuts) + 1, "range").mapInArrow(merge, ROW_DDL)
+    return texts.mapInArrow(runs, ddl).repartitionById(len(cuts) + 1, "range").mapInArrow(merge, ROW_DDL)
 
 
 def find(docs: DataFrame, finish: Callable, ddl: str, length: int = LENGTH, seed: int = SEED,
