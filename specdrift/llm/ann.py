@@ -58,7 +58,7 @@ def valid(vec: Column) -> Column:
 def _blocks(rows: DataFrame, size: int) -> DataFrame:
     """Rows (id, vec array<double>) packed to (ids binary, dim int, data binary), by a hash of the id."""
     n = 1 + rows.count() // size
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n))).repartition(n, "block")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).repartitionById(n, "block")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list] = {}
@@ -82,8 +82,7 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
         for (dim, _), parts in sorted(held.items()):
             yield out(dim, parts)
 
-    # no more tasks than blocks: every task of rows meets every task of queries
-    return dealt.mapInArrow(pack, "ids binary, dim int, data binary").coalesce(n)
+    return dealt.mapInArrow(pack, "ids binary, dim int, data binary")
 
 
 def rotations(dim: int, seed: int = SEED) -> np.ndarray:
