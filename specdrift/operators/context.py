@@ -194,6 +194,8 @@ def assemble(owners: DataFrame, rows: DataFrame, budget: int, least: int = 8) ->
     return out.select("owner", "text", token_count(F.col("text")).alias("tokens"), "included", "omitted", "truncated")
 
 
+#: Fixed heading of an outline.
+OUTLINE_HEAD = "MODULE: %s\nMODULE DECLARATIONS (siblings of the documented symbol; context only, never a documentation target):"
 #: Kinds whose entry lists their members, and kinds whose entry stands for a referenced type.
 MEMBER_KINDS, SUBSTITUTES = ("interface", "enum"), ("interface", "type-alias", "enum")
 
@@ -217,7 +219,7 @@ def outline(symbols: DataFrame, budget: int, entry_most: int = 240) -> DataFrame
     sized = symbols.select("file", "start", "name", "kind", "container", full.alias("full")).withColumn("text", truncate(F.col("full"), F.lit(entry_most)))
     one = F.struct("start", "name", "kind", "container", "full", "text", token_count(F.col("text")).alias("cost"))
     files = sized.groupBy("file").agg(F.array_sort(F.collect_list(one)).alias("all"))
-    header = F.concat(F.lit("MODULE: "), "file", F.lit("\nMODULE DECLARATIONS (siblings of the documented symbol; context only, never a documentation target):"))
+    header = F.format_string(OUTLINE_HEAD, F.col("file"))
     nothing = F.array().cast("array<string>")
     start = F.struct((F.lit(budget) - token_count(header)).cast("bigint").alias("left"), nothing.alias("texts"), nothing.alias("inlined"), nothing.alias("declared"), F.lit(False).alias("over"))
 
