@@ -15,7 +15,7 @@ from specdrift.operators import metrics as M
 from specdrift.operators import outcome as O
 from specdrift.operators import policy as P
 from specdrift.operators import report as R
-from specdrift.plans.catalog import _LEVELS, EMPTY, _classified, _duck, _sql_classified, _symbols, _SYMBOLS, _with, query, table, view
+from specdrift.plans.catalog import _LEVELS, _classified, _cyc_sql, _sql_classified, _symbols, _with, query, table, view
 
 _ISSUE = "status IN ('drifted', 'orphaned')"
 
@@ -432,7 +432,7 @@ def failfast_all_halts(spark, sf):
     return O.failfast(log)
 
 
-@query("component_members", None)
+@query("component_members", _cyc_sql("SELECT component, row_number() OVER (PARTITION BY component ORDER BY node) AS place, node FROM scc"))
 def component_members(spark, sf):
     return G.component_members(G.strongly_connected(view(spark, sf, "edges_cyc")))
 
