@@ -24,7 +24,8 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     token_counts.write_token_files(token_counts.word_tokens(docs, shards=shards), path, separator, order="key")
     counts = token_counts.count_tokens(spark, path, separator).withColumn("shard", F.regexp_extract("file", "/shard=([0-9]+)/", 1).cast("int"))
-    return counts.join(token_counts.file_keys(docs, shards), ["shard", "document"]).select("doc_id", "n_tokens", "ended")
+    # both sides have a row for each document; Spark's estimate of the counts, from file names, is far too low to broadcast by
+    return counts.hint("merge").join(token_counts.file_keys(docs, shards), ["shard", "document"]).select("doc_id", "n_tokens", "ended")
 
 
 OP1_SQL = r"""
