@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specdrift.llm import ann, bpe, language_id, mixing, near_dedup, quality_model, quality_rules, substring_dedup, suffix_dedup, token_counts
+from specdrift.llm import ann, bpe, decontaminate, language_id, mixing, near_dedup, quality_model, quality_rules, substring_dedup, suffix_dedup, token_counts
 from specdrift.llm.io import shared_dir, stored, table, tokenizer_path
 
 
@@ -108,6 +108,34 @@ FROM word
 """
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.find(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", *decontaminate.digests(found))
+
+
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP11_SQL = rf"""
+WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+i AS (SELECT item_id, {_TERMS} AS w FROM benchmark),
+own AS (
+  SELECT DISTINCT item_id, least(10, len(w)) AS m, array_to_string(w[s:s + least(10, len(w)) - 1], ' ') AS g
+  FROM i, LATERAL (SELECT unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS s) WHERE len(w) > 0),
+met AS (
+  SELECT doc_id, s, m, array_to_string(w[s:s + m - 1], ' ') AS g
+  FROM d, (SELECT DISTINCT m FROM own) AS sizes, LATERAL (SELECT unnest(generate_series(1, len(w) - m + 1)) AS s)),
+hit AS (SELECT doc_id, s, m, g FROM met SEMI JOIN own USING (m, g)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(s, s + m - 1)) AS p FROM hit) GROUP BY doc_id),
+items AS (
+  SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit JOIN own USING (m, g)) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(words.n, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(items.n, 0) AS BIGINT) AS n_items, sha256(coalesce(items.ids, '')) AS items_sha256, coalesce(words.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id = items.doc_id
+"""
+
+
 _STOP = ", ".join(f"'{w}'" for w in quality_rules.STOP_FORMS)
 OP6_SQL = rf"""
 WITH w AS (
@@ -151,5 +179,6 @@ QUERIES = {
     "op8_near_dedup": op8_near_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_decontamination": op11_decontamination,
 }
-ORACLES = {"op1_token_counts": OP1_SQL, "op6_quality_rules": OP6_SQL, "op10_substring_dedup": OP10_SQL}
+ORACLES = {"op1_token_counts": OP1_SQL, "op6_quality_rules": OP6_SQL, "op10_substring_dedup": OP10_SQL, "op11_decontamination": OP11_SQL}
