@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specdrift.llm import ann, bpe, decontaminate, language_id, mixing, near_dedup, quality_model, quality_rules, substring_dedup, suffix_dedup, token_counts
+from specdrift.llm import ann, bpe, collocations, decontaminate, language_id, mixing, near_dedup, quality_model, quality_rules, substring_dedup, suffix_dedup, token_counts
 from specdrift.llm.io import shared_dir, stored, table, tokenizer_path
 
 
@@ -136,6 +136,34 @@ FROM d LEFT JOIN words ON d.doc_id = words.doc_id LEFT JOIN items ON d.doc_id =
 """
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+OP12_SQL = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_AZ}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+g AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM w, (SELECT unnest([1, 2, 3, 4]) AS k), LATERAL (SELECT unnest(generate_series(1, len(w) - k + 1)) AS i)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1),
+cut AS (
+  SELECT c.lang, c.phrase, c.k, c.w, c.a, x.f AS l, y.f AS r, CAST(2000000 * CAST(c.a AS HUGEINT) // (x.f + y.f) AS BIGINT) AS score, i
+  FROM c, LATERAL (SELECT unnest(generate_series(1, c.k - 1)) AS i)
+  JOIN f AS x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:i], ' ')
+  JOIN f AS y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[i + 1:], ' ')),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, i) = 1),
+inner_parts AS (
+  SELECT c.lang, array_to_string(c.w[i:i + m - 1], ' ') AS phrase, max(a) AS most
+  FROM c, (SELECT unnest([2, 3]) AS m), LATERAL (SELECT unnest(generate_series(1, c.k - m + 1)) AS i) WHERE m < c.k GROUP BY 1, 2),
+kept AS (SELECT low.* FROM low LEFT JOIN inner_parts AS o ON o.lang = low.lang AND o.phrase = low.phrase WHERE o.most IS NULL OR 100 * o.most < 80 * low.a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n ON n.lang = ranked.lang WHERE rank <= 2000
+"""
+
+
 _STOP = ", ".join(f"'{w}'" for w in quality_rules.STOP_FORMS)
 OP6_SQL = rf"""
 WITH w AS (
@@ -180,5 +208,6 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_decontamination": op11_decontamination,
+    "op12_collocations": op12_collocations,
 }
-ORACLES = {"op1_token_counts": OP1_SQL, "op6_quality_rules": OP6_SQL, "op10_substring_dedup": OP10_SQL, "op11_decontamination": OP11_SQL}
+ORACLES = {"op1_token_counts": OP1_SQL, "op6_quality_rules": OP6_SQL, "op10_substring_dedup": OP10_SQL, "op11_decontamination": OP11_SQL, "op12_collocations": OP12_SQL}
