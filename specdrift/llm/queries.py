@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specdrift.llm import ann, bpe, collocations, decontaminate, language_id, mixing, near_dedup, quality_model, quality_rules, substring_dedup, suffix_dedup, token_counts
+from specdrift.llm import ann, bpe, collocations, decontaminate, language_id, lexical, mixing, near_dedup, quality_model, quality_rules, substring_dedup, suffix_dedup, token_counts
 from specdrift.llm.io import shared_dir, stored, table, tokenizer_path
 
 
@@ -164,6 +164,25 @@ SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n ON n.lang
 """
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+OP13_SQL = rf"""
+WITH d AS (SELECT doc_id, {_TERMS} AS w FROM documents),
+s AS (SELECT CAST(count(*) FILTER (len(w) > 0) AS BIGINT) AS docs, CAST(sum(len(w)) AS BIGINT) AS words FROM d),
+t AS (SELECT doc_id, term, n, count(*) AS tf FROM (SELECT doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+q AS (SELECT item_id, term, count(*) AS many FROM (SELECT item_id, unnest({_TERMS}) AS term FROM benchmark) GROUP BY ALL),
+m AS (
+  SELECT item_id, doc_id,
+         CAST(sum(many * CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // words)))) AS BIGINT) AS score
+  FROM q JOIN t USING (term) JOIN df USING (term), s GROUP BY item_id, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM m WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM r WHERE rank <= 10
+"""
+
+
 _STOP = ", ".join(f"'{w}'" for w in quality_rules.STOP_FORMS)
 OP6_SQL = rf"""
 WITH w AS (
@@ -209,5 +228,6 @@ QUERIES = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_decontamination": op11_decontamination,
     "op12_collocations": op12_collocations,
+    "op13_lexical_search": op13_lexical_search,
 }
-ORACLES = {"op1_token_counts": OP1_SQL, "op6_quality_rules": OP6_SQL, "op10_substring_dedup": OP10_SQL, "op11_decontamination": OP11_SQL, "op12_collocations": OP12_SQL}
+ORACLES = {"op1_token_counts": OP1_SQL, "op6_quality_rules": OP6_SQL, "op10_substring_dedup": OP10_SQL, "op11_decontamination": OP11_SQL, "op12_collocations": OP12_SQL, "op13_lexical_search": OP13_SQL}
