@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from specdrift.operators.walks import levels, propagate, strongly_connected  # noqa: F401
 from specdrift.plans.shared import discard, stored
 
 
@@ -20,99 +21,12 @@ def nodes_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
 
 
-def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
-    """Least label over all nodes that reach a node (its own included), to the fixed point. Only labels
-    that fell in the last round travel."""
-    labels, moved = stored(labels, "labels"), labels
-    while True:
-        told = moved.join(edges, moved["node"] == edges["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("new"))
-        both = labels.join(told, "node", "left").select(
-            "node", F.least("label", F.coalesce("new", "label")).alias("label"), (F.col("new") < F.col("label")).alias("fell")
-        )
-        both = stored(both, "labels")
-        labels, moved = both.select("node", "label"), both.filter("fell").select("node", "label")
-        if moved.isEmpty():
-            return labels
-
-
-def strongly_connected(edges: DataFrame) -> DataFrame:
-    """(node, component): component is its least node.
-
-    Forward labels (the least node that reaches a node) colour the graph; within a colour, the nodes
-    that reach its namesake form a component. Coloured components leave, and the rest goes round
-    again. Work is joins of labels with edges; no closure is ever built.
-    """
-    edges = stored(distinct_edges(edges), "edges")
-    left, found = nodes_of(edges), None
-    while True:
-        colour = _spread(left.select("node", F.col("node").alias("label")), edges)
-        a, b = colour.withColumnsRenamed({"node": "src", "label": "sc"}), colour.withColumnsRenamed({"node": "dst", "label": "dc"})
-        inside = stored(edges.join(a, "src").join(b, "dst").filter("sc = dc").select(F.col("dst").alias("src"), F.col("src").alias("dst")), "inside")
-        part = stored(colour.filter("node = label"), "part")
-        moved = part
-        while not moved.isEmpty():
-            reached = moved.join(inside, moved["node"] == inside["src"]).select(F.col("dst").alias("node"), "label").distinct()
-            moved = stored(reached.join(part.select("node"), "node", "left_anti"), "moved")
-            part = part.union(moved)
-        part = stored(part, "components")
-        found = part if found is None else found.union(part)
-        left = stored(left.join(part.select("node"), "node", "left_anti"), "left")
-        if left.isEmpty():
-            return found.select("node", F.col("label").alias("component"))
-        edges = stored(edges.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi"), "edges")
-
-
 def condense(edges: DataFrame, components: DataFrame) -> DataFrame:
     """Distinct edges between components."""
     a, b = components.withColumnsRenamed({"node": "src", "component": "a"}), components.withColumnsRenamed({"node": "dst", "component": "b"})
     return edges.join(a, "src").join(b, "dst").filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
 
 
-#: Rounds of level relaxation in one plan.
-ROUNDS = 4
-
-
-def levels(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
-    """(node, level) of an acyclic graph: 0 without a dependency, else one more than the highest of them.
-
-    Levels rise from 0 until none is below what its dependencies ask for. ``ROUNDS`` rounds make one
-    plan; then the levels are written, and compared with those before. A cycle makes them rise past
-    the number of nodes, which is an error. Loops of a node to itself are left out; repeated edges count
-    once; an empty graph gives no rows.
-    """
-    edges = stored(distinct_edges(edges).filter("src <> dst"), "edges")
-    base = (nodes_of(edges) if nodes is None else nodes.select("node")).distinct()
-    now = stored(base.withColumn("level", F.lit(0)), "levels")
-    n = now.count()
-    while True:
-        after = now.select("node", F.col("level").alias("was"), "level")
-        for _ in range(ROUNDS):
-            told = after.select(F.col("node").alias("dst"), "level").join(edges, "dst").groupBy(F.col("src").alias("node")).agg((F.max("level") + 1).alias("least"))
-            after = after.join(told, "node", "left").select("node", "was", F.greatest("level", F.coalesce("least", F.lit(0))).alias("level"))
-        after = stored(after, "levels")
-        rose, top = after.agg(F.count_if(F.col("level") > F.col("was")), F.max("level")).first()
-        discard(now)
-        now = after
-        if (top or 0) >= max(1, n):
-            raise ValueError("the graph has a cycle")
-        if not rose:
-            return now.select("node", "level")
-
-
-def propagate(edges: DataFrame, node_levels: DataFrame, own: DataFrame) -> DataFrame:
-    """(node, value): level by level, what a node has itself (own: node, value) plus the greatest value of its
-    dependencies. Values of lower levels are written before the next level reads them, as summaries are."""
-    found = None
-    for (level,) in node_levels.select("level").distinct().orderBy("level").toLocalIterator():
-        here = node_levels.filter(F.col("level") == level).join(own, "node")
-        if found is not None:
-            below = edges.join(found.select(F.col("node").alias("dst"), F.col("value").alias("below")), "dst").groupBy(F.col("src").alias("node")).agg(F.max("below").alias("below"))
-            here = here.join(below, "node", "left").withColumn("value", F.col("value") + F.coalesce("below", F.lit(0)))
-        done = stored(here.select("node", "value"), "values")
-        found = done if found is None else found.union(done)
-    return found if found is not None else own.filter(F.lit(False))
-
-
 def component_members(components: DataFrame) -> DataFrame:
     """(component, place, node): members of each component in binary order, numbered from 1."""
     return components.select("component", F.row_number().over(Window.partitionBy("component").orderBy("node")).alias("place"), "node")
@@ -176,9 +90,11 @@ def public_surface(exports: DataFrame, entries: DataFrame) -> DataFrame:
     """(file, name) reachable from entry files over re-exports (file, name, to_file, to_name); to_file
     null marks a declaration."""
     seen = stored(exports.join(entries, "file", "left_semi").select("file", "name").distinct(), "seen")
-    moved = seen
+    parts, moved = [seen], seen
     while not moved.isEmpty():
         nxt = moved.join(exports, ["file", "name"]).filter("to_file is not null").select(F.col("to_file").alias("file"), F.col("to_name").alias("name")).distinct()
         moved = stored(nxt.join(seen, ["file", "name"], "left_anti"), "moved")
         seen = stored(seen.union(moved), "seen")
+        parts += [moved, seen]
+    discard(*parts[:-1])
     return seen.join(exports.filter("to_file is null").select("file", "name"), ["file", "name"], "left_semi")

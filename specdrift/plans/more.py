@@ -437,11 +437,10 @@ def component_members(spark, sf):
     return G.component_members(G.strongly_connected(view(spark, sf, "edges_cyc")))
 
 
-@query("level_propagation", _LEVELS.replace("walk AS", "own AS (SELECT DISTINCT node, node % 3 + 1 AS v FROM (SELECT src AS node FROM d UNION SELECT dst FROM d)), sums AS (SELECT node, v AS value FROM own UNION SELECT d.src, o.v + s.value FROM sums s JOIN d ON d.dst = s.node JOIN own o ON o.node = d.src),\nwalk AS") + "SELECT node, CAST(max(value) AS BIGINT) AS value FROM sums GROUP BY node")
+@query("level_propagation", _LEVELS.replace("walk AS", "own AS (SELECT DISTINCT node, node % 3 + 1 AS v FROM (SELECT src AS node FROM d UNION SELECT dst FROM d)), sums AS (SELECT node, v AS value FROM own UNION SELECT d.src, o.v + s.value FROM sums s JOIN d ON d.dst = s.node JOIN own o ON o.node = d.src),\nwalk AS") + "SELECT node, CAST(max(value) AS BIGINT) AS value, node NOT IN (SELECT src FROM d) AS strict FROM sums GROUP BY node")
 def level_propagation(spark, sf):
     edges = view(spark, sf, "edges_dag")
-    own = G.nodes_of(edges).withColumn("value", F.col("node") % 3 + 1)
-    return G.propagate(G.distinct_edges(edges), G.levels(edges), own)
+    return G.propagate(edges, G.nodes_of(edges).withColumn("value", F.col("node") % 3 + 1))
 
 
 @query("call_graph", """WITH d AS (SELECT source AS file, lang AS name, doc_id AS symbol, count(*) OVER (PARTITION BY source, lang) AS n FROM documents),
