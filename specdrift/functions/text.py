@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -16,6 +17,11 @@ TOKEN_PATTERN = r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]"
 ELIDED = "\n… [elided]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used, in lambdas too."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def hash_text(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
@@ -47,11 +53,6 @@ def anchor_hash(code: Column, raw_doc: Column, raw_note: Column) -> Column:
     return F.sha2(_joined_by_nul(code, raw_doc, raw_note), 256)
 
 
-def posix_path(path: Column) -> Column:
-    slashed = F.regexp_replace(path, r"\\", "/")
-    return F.when(slashed == "", ".").otherwise(slashed)
-
-
 def symbol_id(path: Column, name: Column, container: Column | None = None, suffix: Column | None = None) -> Column:
     """``path#container.name`` and an optional suffix, without line numbers."""
     clean = F.regexp_replace(F.regexp_replace(path, r"\\", "/"), r"^\./", "")
@@ -151,49 +152,55 @@ def truncate(text: Column, most: Column) -> Column:
     marker_tokens = 5  # of ELIDED: an ellipsis, two brackets, and two for a word of 6 bytes
     runs = F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+|[^\s\p{L}\p{N}_]|\s+"), F.lit(0))
     limit = most - marker_tokens
-    start = F.struct(F.lit("").alias("kept"), limit.cast("bigint").alias("left"), F.lit(True).alias("open"))
+    start = F.struct(F.lit(0).alias("kept"), limit.cast("bigint").alias("left"), F.lit(True).alias("open"))
 
     def step(acc: Column, run: Column) -> Column:
         cost = _run_tokens(run)
         fits = acc["open"] & (cost <= acc["left"])
-        part = F.when(
-            acc["open"] & ~fits & (acc["left"] > 0),
-            F.concat_ws("", F.filter(F.split(run, ""), lambda c, i: F.octet_length(F.substring(run, F.lit(1), i + 1)) <= acc["left"] * 4)),
-        ).otherwise("")
+        part = F.size(F.filter(F.split(run, ""), lambda c, i: (c != "") & (F.octet_length(F.substring(run, F.lit(1), i + 1)) <= acc["left"] * 4)))
         return F.struct(
-            F.concat(acc["kept"], F.when(fits, run).otherwise(part)).alias("kept"),
+            F.when(fits, acc["kept"] + F.length(run)).when(acc["open"] & (acc["left"] > 0), acc["kept"] + part).otherwise(acc["kept"]).alias("kept"),
             F.when(fits, acc["left"] - cost).otherwise(acc["left"]).alias("left"), fits.alias("open"),
         )
 
-    cut = F.concat(F.regexp_replace(F.aggregate(runs, start, step)["kept"], r"\s+$", ""), F.lit(ELIDED))
+    kept = F.substring(text, F.lit(1), F.aggregate(runs, start, step)["kept"])
+    cut = F.concat(F.regexp_replace(kept, r"\s+$", ""), F.lit(ELIDED))
     return F.when(most <= 0, "").when(token_count(text) <= most, text).when(most <= marker_tokens, "").otherwise(cut)
 
 
-def wrap_words(text: Column, first: str, following: str, width: int, most: int) -> Column:
+def wrap_words(text: Column, first: Column | str, following: Column | str, width: int, most: int) -> Column:
     """array<string>: lines filled greedily up to ``width`` characters, prefix included; what is left goes on
-    one line if that has ``most`` at most. Words are never split; no word gives the bare first prefix."""
+    one line if that has ``most`` at most. Words are never split; no word gives the bare first prefix.
+
+    A fold over the words' lengths finds the word each line starts with; lines are then cut from the array of words, so
+    work is linear in the text.
+    """
+    first, following = (F.lit(p) if isinstance(p, str) else p for p in (first, following))
     words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
-    nothing = F.array().cast("array<string>")
-    begin = F.struct(nothing.alias("lines"), F.lit(None).cast("string").alias("line"), F.lit(False).alias("rest"))
-    numbered = F.transform(words, lambda w, i: F.struct(w.alias("w"), F.array_join(F.slice(words, i + 1, F.size(words)), " ").alias("after")))
-
-    def step(acc: Column, one: Column) -> Column:
-        prefix = F.when(F.size(acc["lines"]) == 0, first).otherwise(following)
-        grown = F.concat_ws(" ", acc["line"], one["w"])
-        joins = acc["line"].isNotNull() & (F.length(grown) <= width)
-        # a new line starts: does everything that is left fit on it?
-        closed = F.when(acc["line"].isNull(), acc["lines"]).otherwise(F.concat(acc["lines"], F.array(acc["line"])))
-        next_prefix = F.when(acc["line"].isNull(), prefix).otherwise(F.lit(following))
-        whole = F.length(next_prefix) + F.length(one["after"]) <= most
-        return (
-            F.when(acc["rest"], acc)
-            .when(joins, F.struct(acc["lines"].alias("lines"), grown.alias("line"), F.lit(False).alias("rest")))
-            .when(whole, F.struct(F.concat(closed, F.array(F.concat(next_prefix, one["after"]))).alias("lines"), F.lit(None).cast("string").alias("line"), F.lit(True).alias("rest")))
-            .otherwise(F.struct(closed.alias("lines"), F.concat(next_prefix, one["w"]).alias("line"), F.lit(False).alias("rest")))
-        )
 
-    done = F.aggregate(numbered, begin, step, lambda acc: F.when(acc["line"].isNull(), acc["lines"]).otherwise(F.concat(acc["lines"], F.array(acc["line"]))))
-    return F.when(F.size(words) == 0, F.array(F.lit(first.rstrip()))).otherwise(done)
+    def lines(words: Column) -> Column:
+        total = F.aggregate(words, F.lit(-1), lambda n, w: n + F.length(w) + 1)
+        begin = F.struct(F.array().cast("array<int>").alias("at"), F.lit(-1).alias("line"), total.alias("left"), F.lit(0).alias("i"), F.lit(False).alias("rest"))
+
+        def step(acc: Column, word: Column) -> Column:
+            size = F.length(word)
+            goes_on = acc["rest"] | ((acc["line"] >= 0) & (acc["line"] + 1 + size <= width))
+            prefix = F.length(F.when(F.size(acc["at"]) == 0, first).otherwise(following))
+            return F.struct(
+                F.when(goes_on, acc["at"]).otherwise(F.concat(acc["at"], F.array(acc["i"]))).alias("at"),
+                F.when(goes_on, acc["line"] + 1 + size).otherwise(prefix + size).alias("line"),
+                (acc["left"] - size - 1).alias("left"), (acc["i"] + 1).alias("i"),
+                (acc["rest"] | (~goes_on & (prefix + acc["left"] <= most))).alias("rest"),
+            )
+
+        def cut(at: Column) -> Column:
+            until = lambda j: F.coalesce(F.get(at, j + 1), F.size(words))
+            return F.transform(at, lambda a, j: F.concat(F.when(j == 0, first).otherwise(following), F.array_join(F.slice(words, a + 1, until(j) - a), " ")))
+
+        found = F.aggregate(words, begin, step, lambda acc: acc["at"])
+        return F.when(F.size(words) == 0, F.array(F.rtrim(first))).otherwise(let(found, cut))
+
+    return let(words, lines)
 
 
 def parameter_names(parameters: Column) -> Column:

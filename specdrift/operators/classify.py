@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from specdrift.functions.text import EMPTY_DOC_HASH, file_of
+from specdrift.operators.intervals import touching
 
 STATUSES = ("unchanged", "drifted", "missing", "orphaned")
 
@@ -62,11 +63,13 @@ def baseline_entries(current: DataFrame) -> DataFrame:
 
 
 def changed_since(results: DataFrame, hunks: DataFrame) -> DataFrame:
-    """Rows that a changed line range touches: (path, start, end), inclusive. Orphans match by path."""
-    r, h = results.alias("r"), hunks.alias("h")
-    touch = (F.col("r.start_line") <= F.col("h.end")) & (F.col("r.end_line") >= F.col("h.start"))
-    free = (F.col("r.status") == "orphaned") | F.col("r.end_line").isNull()
-    return r.join(h, (F.col("r.file_path") == F.col("h.path")) & (touch | free), "left_semi")
+    """Rows that a changed line range touches: (path, start, end), inclusive. Orphans and rows without an end match by
+    path. Whether a range is touched is found once for each distinct one, in blocks of lines."""
+    free = F.coalesce((F.col("status") == "orphaned") | F.col("end_line").isNull(), F.lit(False))
+    spans = [F.col("file_path").alias("path"), F.col("start_line").cast("bigint").alias("start"), F.col("end_line").cast("bigint").alias("end")]
+    met = touching(results.filter(~free).select(*spans), hunks).select(F.col("path").alias("p"), F.col("start").alias("s"), F.col("end").alias("e"))
+    by_path = results.filter(free).join(hunks.select(F.col("path").alias("p")).distinct(), F.col("file_path") == F.col("p"), "left_semi")
+    return results.filter(~free).join(met, (F.col("file_path") == F.col("p")) & (F.col("start_line") == F.col("s")) & (F.col("end_line") == F.col("e")), "left_semi").unionByName(by_path)
 
 
 def parse_diff(lines: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from specdrift.functions.comments import line_starts as starts_of
 from specdrift.functions.text import limit_lines, token_count, truncate
 
 
@@ -86,10 +87,8 @@ def source_window(lines: DataFrame, sites: DataFrame, radius: int) -> DataFrame:
 
 def line_starts(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, line, start): the offset, in characters, at which each line of a text starts; lines from 1."""
-    lines = F.split(text, "\n", -1)
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("starts"))
-    starts = F.aggregate(lines, start, lambda acc, x: F.struct((acc["at"] + F.length(x) + 1).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts")))["starts"]
-    return docs.filter(F.col(text).isNotNull()).select(key, F.posexplode(starts).alias("i", "start")).select(key, (F.col("i") + 1).alias("line"), "start")
+    found = docs.filter(F.col(text).isNotNull()).select(key, F.posexplode(starts_of(F.col(text))).alias("i", "start"))
+    return found.select(key, (F.col("i") + 1).alias("line"), "start")
 
 
 def sites_by_callee(sites: DataFrame, order: list[str]) -> DataFrame:

@@ -254,3 +254,26 @@ def _coloured(scratch: _Scratch, edges: DataFrame) -> DataFrame:
         if moved.isEmpty():
             return part
         part = scratch.put(part.union(moved), "part")
+
+
+# ------------------------------------------------------------------ what is passed down
+
+
+def inherited(rows: DataFrame) -> DataFrame:
+    """(node, value) from rows (node, parent, own boolean), one for each node: whether a node and all above it are true.
+
+    Parents are followed by jumps of four at a time, and only from nodes that are true so far, so a chain of n takes log n
+    rounds. A null ``own`` is false; so is all below a parent that is not there, and a ring of parents.
+    """
+    scratch = _Scratch()
+    now = scratch.put(rows.select("node", F.col("parent").alias("to"), F.coalesce("own", F.lit(False)).alias("ok")), "inherited")
+    n, reach = now.count(), 1
+    while True:
+        q = now.select(F.col("node").alias("to"), F.col("to").alias("q_to"), F.col("ok").alias("q_ok"))
+        after = now
+        for _ in range(3):
+            ok = F.when(F.col("to").isNull(), F.col("ok")).otherwise(F.col("ok") & F.coalesce("q_ok", F.lit(False)))
+            after = after.withColumn("to", F.when(F.col("ok"), F.col("to"))).join(q, "to", "left").select("node", F.when(ok, F.col("q_to")).alias("to"), ok.alias("ok"))
+        now, reach = scratch.put(after, "inherited"), reach * 4
+        if reach > 4 * n or now.filter("to is not null").isEmpty():
+            return scratch.result(now.select("node", (F.col("ok") & F.col("to").isNull()).alias("value")), "inherited")

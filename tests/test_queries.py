@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from specdrift.plans import catalog, more  # noqa: F401
+from specdrift.plans import catalog, code, more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
