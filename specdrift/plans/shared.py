@@ -33,6 +33,10 @@ def discard(*tables: DataFrame | None) -> None:
     """Deletes ``stored`` tables that nothing will read again."""
     for t in tables:
         if t is not None and (path := getattr(t, "stored_at", None)):
-            jvm, spark = t.sparkSession._jvm, t.sparkSession
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            remove(t.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that a job wrote."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

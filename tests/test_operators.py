@@ -52,7 +52,7 @@ def test_components_and_levels(spark):
     levels = G.levels(dag, nodes)
     assert {r["node"]: r["level"] for r in levels.collect()} == {"tool": 0, "ring1": 1, "main": 2}
     own = nodes.distinct().select("node", F.when(F.col("node") == "main", 5).otherwise(2).alias("value"))
-    assert {r["node"]: r["value"] for r in G.propagate(dag, levels, own).collect()} == {"tool": 2, "ring1": 4, "main": 9}
+    assert {r["node"]: r["value"] for r in G.propagate(dag, own).collect()} == {"tool": 2, "ring1": 4, "main": 9}
     with pytest.raises(ValueError):
         G.levels(edges)
     assert G.levels(edges.limit(0)).count() == 0
