@@ -17,7 +17,7 @@ smallest distance.
 Every valid row is indexed, in blocks of about ``BLOCK_ROWS`` that a hash of the id fills, so the answer
 does not depend on how the table is laid out. Each block has its own sorted lines and answers for
 itself, and the best ``k`` over all blocks are kept, so blocks are independent tasks and nothing is
-capped. Queries meet the blocks in blocks too (a stated query set against all rows).
+capped. Queries meet the blocks in blocks too (a stated query set against all rows), paired by the number of the block.
 
 Defined results: vectors that are null, empty, zero, or hold a null or a non-finite component take no
 part, and neither do rows without an id. Vectors of different dimensions are never compared. Ties in
@@ -55,19 +55,20 @@ def valid(vec: Column) -> Column:
     return vec.isNotNull() & (F.size(vec) > 0) & finite & F.exists(x, lambda v: v != 0.0)
 
 
-def _blocks(rows: DataFrame, size: int) -> DataFrame:
-    """Rows (id, vec array<double>) packed to (ids binary, dim int, data binary), by a hash of the id."""
+def _blocks(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """Rows (id, vec array<double>) packed to (block int, ids binary, dim int, data binary), by a hash of the id; and how many
+    blocks there are."""
     n = 1 + rows.count() // size
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).repartitionById(n, "block")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list] = {}
 
-        def out(dim: int, parts: list) -> pa.RecordBatch:
+        def out(dim: int, block: int, parts: list) -> pa.RecordBatch:
             ids, data = (np.concatenate(x) for x in zip(*parts, strict=True))
             order = np.lexsort((*data.T[::-1], ids))
-            columns = [pa.array([ids[order].tobytes()], pa.binary()), pa.array([dim], pa.int32()), pa.array([data[order].tobytes()], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["ids", "dim", "data"])
+            columns = [pa.array([block], pa.int32()), pa.array([ids[order].tobytes()], pa.binary()), pa.array([dim], pa.int32()), pa.array([data[order].tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["block", "ids", "dim", "data"])
 
         for batch in batches:
             vecs = batch.column("vec")
@@ -78,11 +79,11 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
                     parts = held.setdefault((dim, b), [])
                     parts.append((ids[mine], vecs.take(pa.array(mine)).flatten().to_numpy().reshape(-1, dim)))
                     if sum(len(i) for i, _ in parts) >= 2 * size:  # rows of one id
-                        yield out(dim, held.pop((dim, b)))
-        for (dim, _), parts in sorted(held.items()):
-            yield out(dim, parts)
+                        yield out(dim, b, held.pop((dim, b)))
+        for (dim, b), parts in sorted(held.items()):
+            yield out(dim, b, parts)
 
-    return dealt.mapInArrow(pack, "ids binary, dim int, data binary")
+    return dealt.mapInArrow(pack, "block int, ids binary, dim int, data binary"), n
 
 
 def rotations(dim: int, seed: int = SEED) -> np.ndarray:
@@ -149,28 +150,32 @@ def search(base: DataFrame, queries: DataFrame, k: int, vec: str, vec_id: str, s
     base_rows = fit(base)
     norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda s, v: s + v * v))
     top = base_rows.agg(F.max(norm)).first()[0] or 1.0
-    blocks = _blocks(base_rows, BLOCK_ROWS)
-    asked = _blocks(fit(queries), QUERY_ROWS).withColumnsRenamed({c: f"q_{c}" for c in ("ids", "dim", "data")})
-    # every block of rows meets every block of queries; an equality on the dimension would put them all under one key
-    met = blocks.crossJoin(asked)
+    blocks, n = _blocks(base_rows, BLOCK_ROWS)
+    asked, _ = _blocks(fit(queries), QUERY_ROWS)
+    # each block of queries is sent to every block of rows, by the block's number; a block's rows come before its queries, so
+    # its lines are sorted once
+    sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"), F.lit(1).alias("part"), "ids", "dim", "data")
+    met = blocks.select("block", F.lit(0).alias("part"), "ids", "dim", "data").union(sent)
+    met = met.repartitionById(n, "block").sortWithinPartitions("block", "part", "dim")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, index = None, None
+        here, indexes = None, {}
         for batch in batches:
-            for ids, dim, data, q_ids, q_data in batch[batch["dim"] == batch["q_dim"]][["ids", "dim", "data", "q_ids", "q_data"]].itertuples(index=False):
-                directions = rotations(dim + 1, seed)
-                if last != (ids, data):
-                    last = (ids, data)
-                    index = BlockIndex(np.frombuffer(ids, np.int64), np.frombuffer(data).reshape(-1, dim), top, directions)
-                own = np.frombuffer(q_ids, np.int64)
-                asked_for = np.frombuffer(q_data).reshape(-1, dim)
-                at = asked_for / np.sqrt(np.einsum("ij,ij->i", asked_for, asked_for))[:, None] @ directions[:-1]
+            for block, part, ids, dim, data in batch.itertuples(index=False):
+                if block != here:
+                    here, indexes = block, {}
+                rows, vecs = np.frombuffer(ids, np.int64), np.frombuffer(data).reshape(-1, dim)
+                if part == 0:
+                    indexes.setdefault(dim, []).append(BlockIndex(rows, vecs, top, rotations(dim + 1, seed)))
+                    continue
+                at = vecs / np.sqrt(np.einsum("ij,ij->i", vecs, vecs))[:, None] @ rotations(dim + 1, seed)[:-1]
                 out = []
-                for q, found in enumerate(index.search(at, k)):
-                    found = found[index.ids[found] != own[q]]
-                    score = np.einsum("ij,j->i", index.data[found], asked_for[q])
-                    best = np.lexsort((index.ids[found], -score))[:k]
-                    out.append((np.full(len(best), own[q]), index.ids[found[best]], score[best]))
+                for index in indexes.get(dim, ()):
+                    for q, found in enumerate(index.search(at, k)):
+                        found = found[index.ids[found] != rows[q]]
+                        score = np.einsum("ij,j->i", index.data[found], vecs[q])
+                        best = np.lexsort((index.ids[found], -score))[:k]
+                        out.append((np.full(len(best), rows[q]), index.ids[found[best]], score[best]))
                 if out:
                     q_id, v_id, score = (np.concatenate(x) for x in zip(*out, strict=True))
                     yield pd.DataFrame({"query_id": q_id, "found": v_id, "score": score})

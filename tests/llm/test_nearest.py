@@ -41,6 +41,22 @@ def test_answer_does_not_depend_on_the_layout(spark, monkeypatch):
     assert found[0] == found[1] == found[2]
 
 
+def test_many_blocks_find_what_one_finds(spark, monkeypatch):
+    base = spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id", "embedding")
+    asked = base.filter("vec_id % 100 = 0")
+    rows = base.collect()
+    ids, data = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 300)
+    monkeypatch.setattr(ann, "QUERY_ROWS", 6)
+    got = ann.search(base, asked, 20, "embedding", "vec_id").toPandas()
+    recall = []
+    for q, mine in got.groupby("query_id"):
+        score = data @ data[ids == q][0]
+        score[ids == q] = -np.inf
+        recall.append(len(set(ids[np.argsort(-score)[:20]]) & set(mine["vec_id"])) / 20)
+    assert len(recall) == asked.count() and np.mean(recall) >= 0.95
+
+
 def test_ties_repeated_ids_and_mixed_dimensions(spark):
     e = [1.0, 0.0]
     rows = [(0, e), (7, e), (5, e), (3, [0.5, 0.0]), (3, [0.25, 0.0]), (0, [0.0, 1.0]), (9, [1.0, 0.0, 0.0]), (None, e), (11, [1e300, 1e300, 0.0])]
