@@ -14,7 +14,8 @@ from the anchor on, then those before it.
    piece: an entry is the length of the prefix it shares with the entry before, and the rest. Equal
    suffixes of a run are one entry. Pieces travel as one block each. Boundaries are whole suffixes, so
    suffixes that begin alike, however many, spread over ranges.
-3. Each range merges its pieces with a loser tree. An entry carries the length of its common prefix
+3. Each range merges its pieces with a loser tree. There are as many ranges as the text's size asks for, so what a task holds
+   does not grow with the table. An entry carries the length of its common prefix
    with the last entry put out. In a match the longer common prefix wins without looking at a byte;
    equal ones are compared from that length on, and the loser keeps the length found. So no prefix
    known to be common is compared again, and the merged sequence comes with its common prefixes.
@@ -53,6 +54,8 @@ LENGTH = 100
 SEED = 32
 #: Bytes of text a map task turns into one run.
 RUN_BYTES = 24_000_000
+#: Bytes of text for each range at most; a task holds one range.
+RANGE_BYTES = 64_000_000
 #: Anchors that an indexing task holds before it sends them on.
 HELD = 400_000
 #: Bytes of different entries whose strings are compared at a time.
@@ -348,10 +351,9 @@ def settled(merged: Iterator[tuple[bytes, int, bytes]], length: int, seed: int,
     yield from settler.settle(unclosed)
 
 
-def _boundaries(docs: DataFrame, ranges: int, length: int, seed: int) -> list[bytes]:
+def _boundaries(docs: DataFrame, total: int, ranges: int, length: int, seed: int) -> list[bytes]:
     """Keys that cut the sorted suffixes into ranges of about equal size, from a sample of ``SAMPLED``
-    documents and up to ``SAMPLED_EACH`` suffixes of each for every range."""
-    total = docs.count()
+    documents and up to ``SAMPLED_EACH`` suffixes of each for every range; ``total`` is the number of documents."""
     sample = docs.sample(min(1.0, SAMPLED * ranges / max(1, total)), seed=7).select("__body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -461,12 +463,13 @@ def find(docs: DataFrame, finish: Callable, ddl: str, length: int = LENGTH, seed
     is a tuple of the columns named in ``ddl`` (bigint, int or string)."""
     texts, without = named_texts(docs, text, doc_id, [f.split()[0].strip("`") for f in ddl.split(",")])
     body = texts.select("doc", "__body")
-    ranges = ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    total, size = body.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("__body")), F.lit(0))).first()
+    ranges = ranges or max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // RANGE_BYTES))
     again = _index(body, length, seed).selectExpr("doc", "at", "sum(n) OVER (PARTITION BY key) AS n").filter("n > 1")
     chosen = again.groupBy("doc").agg(F.collect_list("at").alias("chosen"))
     # all columns go along, so that Spark can reuse the exchange of the texts
     met = texts.join(chosen, "doc").select("rest", "doc", "tag", "__body", "chosen")
-    found = _occurrences(met, _boundaries(body, ranges, length, seed), length, seed, chunk)
+    found = _occurrences(met, _boundaries(body, total, ranges, length, seed), length, seed, chunk)
     return applied(texts, without, repeated(found, "doc", "start"), finish, ddl)
 
 
