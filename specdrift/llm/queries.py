@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from specdrift.llm import ann, bpe, collocations, decontaminate, language_id, lexical, mixing, near_dedup, quality_model, quality_rules, substring_dedup, suffix_dedup, token_counts
-from specdrift.llm.io import shared_dir, stored, table, tokenizer_path
+from specdrift.llm.io import remove, shared_dir, stored, table, tokenizer_path
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,8 +24,9 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     token_counts.write_token_files(token_counts.word_tokens(docs, shards=shards), path, separator, order="key")
     counts = token_counts.count_tokens(spark, path, separator).withColumn("shard", F.regexp_extract("file", "/shard=([0-9]+)/", 1).cast("int"))
-    # both sides have a row for each document; Spark's estimate of the counts, from file names, is far too low to broadcast by
-    return counts.hint("merge").join(token_counts.file_keys(docs, shards), ["shard", "document"]).select("doc_id", "n_tokens", "ended")
+    result = stored(token_counts.keyed_counts(counts, token_counts.file_keys(docs, shards)), "counts")
+    remove(spark, path)
+    return result
 
 
 OP1_SQL = r"""

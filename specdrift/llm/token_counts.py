@@ -149,13 +149,24 @@ def write_token_files(tokens: DataFrame, path: str, separator: int, width: int =
         writer = dealt.select("shard", body).write.partitionBy("shard")
     else:
         writer = tokens.select(body).write
-    writer.option("lineSep", end).option("encoding", "ISO-8859-1").text(path)
+    # one file a shard, whatever the session says of records in a file: documents are numbered by file
+    writer.option("maxRecordsPerFile", 0).option("lineSep", end).option("encoding", "ISO-8859-1").text(path)
 
 
 def file_keys(docs: DataFrame, shards: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(shard, document, <doc_id>): which document is which in the files of ``word_tokens``."""
-    rank = F.row_number().over(Window.partitionBy("shard").orderBy(doc_id)) - 1
-    return docs.select(_shard(shards, doc_id, text).alias("shard"), doc_id).withColumn("document", rank.cast("bigint"))
+    """(shard, document, <doc_id>): which document is which in the files of ``word_tokens``. Both order ids of any type as they are."""
+    rank = F.row_number().over(Window.partitionBy("shard").orderBy(f"`{doc_id}`")) - 1
+    return docs.select(_shard(shards, doc_id, text).alias("shard"), F.col(f"`{doc_id}`")).withColumn("document", rank.cast("bigint"))
+
+
+def keyed_counts(counts: DataFrame, keys: DataFrame) -> DataFrame:
+    """(<doc_id>, n_tokens, ended): ``counts`` (shard, document, n_tokens, ended) by the keys of ``file_keys``. Each document has
+    a count and each count a document; if not, the files are not those of the keys, which is an error."""
+    (doc_id,) = [c for c in keys.columns if c not in ("shard", "document")]
+    # both sides have a row for each document; Spark's estimate of the counts, from file names, is far too low to broadcast by
+    both = counts.withColumn("__counted", F.lit(True)).hint("merge").join(keys.withColumn("__named", F.lit(True)), ["shard", "document"], "full_outer")
+    met = F.col("__counted").isNotNull() & F.col("__named").isNotNull()
+    return both.select(F.col(f"`{doc_id}`"), F.when(met, F.col("n_tokens")).otherwise(F.raise_error(F.lit("token files and documents do not match")).cast("bigint")).alias("n_tokens"), "ended")
 
 
 def word_tokens(docs: DataFrame, text: str = "text", vocabulary: int = 50_000, shards: int | None = None, doc_id: str = "doc_id") -> DataFrame:
@@ -172,5 +183,5 @@ def word_tokens(docs: DataFrame, text: str = "text", vocabulary: int = 50_000, s
             rest = [c for c in batch.schema.names if c != "t"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], tokens], names=[*rest, "tokens"])
 
-    keyed = [_shard(shards, doc_id, text).alias("shard"), F.col(f"`{doc_id}`").cast("bigint").alias("key")] if shards else []
-    return docs.select(*keyed, F.col(f"`{text}`").alias("t")).mapInArrow(run, ("shard int, key bigint, " if shards else "") + "tokens binary")
+    keyed = [_shard(shards, doc_id, text).alias("shard"), F.col(f"`{doc_id}`").alias("key")] if shards else []
+    return docs.select(*keyed, F.col(f"`{text}`").alias("t")).mapInArrow(run, (f"shard int, key {docs.schema[doc_id].dataType.simpleString()}, " if shards else "") + "tokens binary")

@@ -188,6 +188,25 @@ def test_token_files_round_trip(spark):
     assert token_counts.count_tokens(spark, path, 65_535, block=1).count() == 3
 
 
+@pytest.mark.parametrize("ids", [["b", "B", "ä", "10", "9", None, "", "b"], [3, None, 2, 2, None, 7, 8, 9]])
+def test_counts_find_their_documents_whatever_the_session_says(spark, ids):
+    kind = "string" if isinstance(ids[0], str) else "bigint"
+    rows = [(x if i < len(ids) else f"id{i}" if kind == "string" else 100 + i, "w " * (i % 11) if i % 13 else None) for i, x in enumerate(ids * 1 + [0] * 120)]
+    docs = spark.createDataFrame(rows, f"`doc id` {kind}, text string").repartition(3)
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "20")
+    try:
+        path = shared_dir(spark, "tokens")
+        token_counts.write_token_files(token_counts.word_tokens(docs, shards=3, doc_id="doc id"), path, 65_535, order="key")
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+    counts = token_counts.count_tokens(spark, path, 65_535).withColumn("shard", F.regexp_extract("file", "/shard=([0-9]+)/", 1).cast("int"))
+    keys = token_counts.file_keys(docs, 3, doc_id="doc id")
+    got = sorted(((r[0], r[1]) for r in token_counts.keyed_counts(counts, keys).collect()), key=str)
+    assert got == sorted(((i, len((t or "").split())) for i, t in rows), key=str)
+    with pytest.raises(Exception, match="do not match"):
+        token_counts.keyed_counts(counts, keys.filter("document > 0")).collect()
+
+
 def test_mixing_solves_the_entropy_problem(spark):
     """Rates against the optimality conditions, multipliers against bisection in numpy."""
     rng = np.random.default_rng(3)
