@@ -3,13 +3,13 @@
 Characters of a text (lower-cased code points; everything that is not a letter counts as one blank)
 are hashed in runs of one to three into a fixed number of buckets. Training adds up counts for each
 language and bucket over all labelled documents: each task adds up dense vectors, puts them out
-whenever it holds ``HELD`` languages, and the vectors are summed block by block. The matrix of log
-probabilities, languages x buckets x 4 bytes (1 MB for each language at the default), is broadcast in
-groups of ``GROUP`` languages, a proven size. Each group is one pass that scores documents in batches:
+whenever it holds ``HELD`` languages, and the vectors are summed block by block. The model is a table of these sums. ``GROUP``
+languages of it at a time, a proven size, become a matrix of log probabilities (1 MB for each language at the default)
+that is broadcast; neither the driver nor a worker ever holds more. Each group is one pass that scores documents in batches:
 the buckets of many texts are counted to one sparse matrix, whose product with the group's matrix gives
 all scores at once. Long texts are cut into pieces whose scores are added up, so they cost time in
 proportion and no more memory. Passes carry on the best score so far and the sum of the others over it,
-so any number of languages is learned and compared.
+so any number of languages is learned and compared; between passes rows are written, and a pass's matrix is given up.
 
 Priors are uniform, so that a hot language or source gets no advantage. The score is the posterior
 probability of the language predicted. Defined results: null texts and texts without a letter are ``und``
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from specdrift.llm.io import extended
+from specdrift.llm.io import discard, extended, stored
 from specdrift.llm.textnum import with_columns
 from specdrift.llm.vectors import collect_vectors, split_blocks, sum_blocks
 
@@ -93,8 +93,8 @@ def _text_buckets(text: str, size: int) -> Iterator[np.ndarray]:
         yield buckets(points, 2 if k else 0, size)
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = BUCKETS) -> tuple[list[str], np.ndarray]:
-    """(languages in code point order, log probabilities [language, bucket]) from rows whose
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = BUCKETS) -> tuple[list[str], DataFrame]:
+    """(languages in code point order, model (name, block, value): counts of buckets) from rows whose
     language and text are not null."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,12 +122,16 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = B
 
     labelled = docs.select(F.col(f"`{text}`").alias("t"), F.col(f"`{lang}`").alias("l")).dropna()
     counts = labelled.mapInPandas(count, "name string, block int, value binary")
-    sums = collect_vectors(sum_blocks(counts), size)
-    names = sorted(sums, key=lambda n: n.encode())
-    if not names:
-        return [], np.zeros((0, size), np.float32)
+    model = stored(sum_blocks(counts), "languages")
+    names = sorted((r[0] for r in model.select("name").distinct().collect()), key=lambda n: n.encode())
+    return names, model
+
+
+def log_probabilities(model: DataFrame, names: list[str], size: int = BUCKETS) -> np.ndarray:
+    """[language, bucket] of some languages of a model."""
+    sums = collect_vectors(model.filter(F.col("name").isin(names)), size)
     matrix = np.stack([sums[n] for n in names]) + SMOOTHING
-    return names, np.log(matrix / matrix.sum(axis=1, keepdims=True)).astype(np.float32)
+    return np.log(matrix / matrix.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
 def _sparse(texts: Iterator[str | None], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -158,9 +162,10 @@ def _scores(texts: list[str | None], table: np.ndarray) -> tuple[np.ndarray, np.
     return total, letters
 
 
-def predict(docs: DataFrame, names: list[str], logp: np.ndarray, text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``; columns of these names are replaced."""
-    spark, size = docs.sparkSession, logp.shape[1]
+def predict(docs: DataFrame, names: list[str], model: DataFrame | np.ndarray, text: str = "text", size: int = BUCKETS) -> DataFrame:
+    """``docs`` with ``lang_pred`` and ``score``; columns of these names are replaced. ``model`` is what ``train`` returns, or
+    log probabilities [language, bucket]."""
+    spark, before = docs.sparkSession, None
     kept = docs.drop(*[c for c in ("lang_pred", "score") if c != text])
     columns = kept.columns
     free = "_" * (1 + max(map(len, kept.columns)))  # no column starts like this
@@ -168,26 +173,33 @@ def predict(docs: DataFrame, names: list[str], logp: np.ndarray, text: str = "te
     state = extended(kept.schema, f"`{best_at}` string, `{top_at}` double, `{rest_at}` double")
     rows = kept.withColumns({best_at: F.lit(None).cast("string"), top_at: F.lit(None).cast("double"), rest_at: F.lit(0.0)})
     for at in range(0, len(names), GROUP):
-        model = spark.sparkContext.broadcast((names[at : at + GROUP], np.asfortranarray(logp[at : at + GROUP].T)))
+        mine = names[at : at + GROUP]
+        logp = model[at : at + GROUP] if isinstance(model, np.ndarray) else log_probabilities(model, mine, size)
+        sent = spark.sparkContext.broadcast((mine, np.asfortranarray(logp.T)))
 
-        def score(batches: Iterator[pa.RecordBatch], model=model) -> Iterator[pa.RecordBatch]:
+        def score(batches: Iterator[pa.RecordBatch], model=sent) -> Iterator[pa.RecordBatch]:
             group, table = model.value
             for batch in batches:
                 total, letters = _scores(batch.column(text).to_pylist(), table)
                 k = total.argmax(axis=1)
                 top = total[np.arange(len(k)), k]
                 rest = np.exp(total - top[:, None]).sum(axis=1)
-                before, sums = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in (top_at, rest_at))
-                first = np.isnan(before)
-                wins = first | (top > before)
-                most = np.where(wins, top, before)
-                sums = rest * np.exp(top - most) + np.where(first, 0.0, sums * np.exp(np.where(first, 0.0, before) - most))
+                old, sums = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in (top_at, rest_at))
+                first = np.isnan(old)
+                wins = first | (top > old)
+                most = np.where(wins, top, old)
+                sums = rest * np.exp(top - most) + sums * np.exp(np.where(first, -np.inf, old - most))
                 best = np.where(wins, np.array(group, object)[k], np.array(batch.column(best_at).to_pylist(), object))
                 none = letters == 0
                 made = (pa.array(best, pa.string(), mask=none), pa.array(most, mask=none), pa.array(np.where(none, 0.0, sums)))
                 yield with_columns(batch.select(columns), dict(zip((best_at, top_at, rest_at), made, strict=True)))
 
         rows = rows.mapInArrow(score, state)
+        if at + GROUP < len(names):
+            rows = stored(rows, "scored")
+            sent.destroy()
+            discard(before)
+            before = rows
     best, rest = F.col(f"`{best_at}`"), F.col(f"`{rest_at}`")
     return rows.select(
         *[F.col(f"`{c}`") for c in kept.columns], F.coalesce(best, F.lit(UNKNOWN)).alias("lang_pred"),

@@ -52,9 +52,9 @@ def _fold(divisor: int) -> Column:
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(_fold(4) == 2, F.lit(False))
-    names, logp = language_id.train(docs.filter(~held_out))
+    names, model = language_id.train(docs.filter(~held_out))
     rows = docs.select("doc_id", held_out.alias("held_out"), "text")
-    return language_id.predict(rows, names, logp).drop("text")
+    return language_id.predict(rows, names, model).drop("text")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

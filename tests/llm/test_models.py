@@ -101,3 +101,19 @@ def test_statistics_of_long_words_take_linear_time(spark):
     assert time.time() - began < 5
     row = quality_model.with_statistics(spark.createDataFrame([("the the cat cat the mat at",)], "text string")).first()["x"]
     assert row[6] == pytest.approx(2 / 8)
+
+
+def test_many_languages_a_few_at_a_time(spark, monkeypatch):
+    """Fifty languages, seven in memory at once, as all at once; the driver reads one group's counts at a time."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [(100 * i + j, f"{letters[i % 26]}{letters[i // 26]}{letters[i % 26]}{letters[j]} " * 20, f"l{i:02}") for i in range(50) for j in range(3)]
+    docs = spark.createDataFrame([*rows, (9000, None, "l00"), (9001, "123", "l01")], "doc_id bigint, text string, lang string").repartition(3)
+    names, model = language_id.train(docs)
+    assert names == [f"l{i:02}" for i in range(50)]
+    shown = lambda: sorted((r["doc_id"], r["lang_pred"], round(r["score"], 9)) for r in language_id.predict(docs, names, model).collect())
+    whole = shown()
+    asked, real = [], language_id.log_probabilities
+    monkeypatch.setattr(language_id, "GROUP", 7)
+    monkeypatch.setattr(language_id, "log_probabilities", lambda m, n, size: asked.append(len(n)) or real(m, n, size))
+    assert shown() == whole and max(asked) == 7 and sum(asked) == 50
+    assert np.mean([p == f"l{i // 100:02}" for i, p, _ in whole if i < 9000]) > 0.9 and whole[-2:] == [(9000, "und", 0.0), (9001, "und", 0.0)]
