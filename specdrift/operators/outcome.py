@@ -106,3 +106,8 @@ def pacing(requests: DataFrame, seconds: int = 60) -> DataFrame:
     """Adds how many requests of the run fall into the window that ends with each one."""
     w = Window.partitionBy("run").orderBy("at").rangeBetween(-(seconds - 1), 0)
     return requests.withColumn("in_window", F.count(F.lit(1)).over(w))
+
+
+def capped(requests: DataFrame, per_run: int, order: list[str]) -> DataFrame:
+    """Adds ``refused``: whether the run had sent ``per_run`` requests before this one, in order."""
+    return requests.withColumn("refused", F.row_number().over(Window.partitionBy("run").orderBy(*order)) > per_run)

@@ -15,6 +15,8 @@ from specdrift.operators import metrics as M
 from specdrift.operators import outcome as O
 from specdrift.operators import policy as P
 from specdrift.operators import report as R
+from specdrift.plans.shared import shared_dir
+from specdrift.sources import read_cases
 from specdrift.plans.catalog import _LEVELS, _classified, _cyc_sql, _sql_classified, _symbols, _with, query, table, view
 
 _ISSUE = "status IN ('drifted', 'orphaned')"
@@ -146,15 +148,15 @@ def workspace_ids(spark, sf):
     return table(spark, sf, "part").select("p_partkey", whole.alias("id"), T.project_id(project, whole).alias("back"))
 
 
-@query("indents", r"""SELECT doc_id, regexp_extract(coalesce(string_split(text, chr(10))[2], ''), '^\s*') AS indent, CASE WHEN contains(text, chr(13) || chr(10)) THEN 'crlf' ELSE 'lf' END AS eol FROM documents WHERE text IS NOT NULL""")
+@query("indents", r"""SELECT doc_id, regexp_extract(coalesce(string_split(text, chr(10))[2], ''), '^\s*') AS indent, CASE WHEN contains(text, chr(13) || chr(10)) THEN 'crlf' ELSE 'lf' END AS eol FROM documents""")
 def indents(spark, sf):
-    docs = table(spark, sf, "documents").filter("text is not null")
+    docs = table(spark, sf, "documents")
     return docs.select("doc_id", T.indentation(F.col("text"), F.lit(2)).alias("indent"), F.when(T.end_of_line(F.col("text")) == "\n", "lf").otherwise("crlf").alias("eol"))
 
 
-@query("error_caps", r"""SELECT doc_id, left(trim(regexp_replace(text, '\s+', ' ', 'g')), 240) AS short FROM documents WHERE text IS NOT NULL""")
+@query("error_caps", r"""SELECT doc_id, left(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')), 240) AS short FROM documents""")
 def error_caps(spark, sf):
-    return table(spark, sf, "documents").filter("text is not null").select("doc_id", T.one_line(F.col("text"), 240).alias("short"))
+    return table(spark, sf, "documents").select("doc_id", T.one_line(F.col("text"), 240).alias("short"))
 
 
 @query("salvage_json", """SELECT conv_id, turn, role, CASE WHEN turn % 4 = 3 THEN NULL ELSE 'OK' END AS verdict, CASE WHEN turn % 4 = 3 THEN NULL ELSE CAST(conv_id AS VARCHAR) END AS id FROM conversations""")
@@ -170,11 +172,11 @@ def salvage_json(spark, sf):
 _TOKENS = r"coalesce(list_sum(list_transform(regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]+|[^\s\p{{L}}\p{{N}}_]'), lambda x: greatest(1, CAST(ceil(octet_length(encode(x)) / 4.0) AS BIGINT)))), 0)"
 
 
-@query("truncate_tokens", f"""WITH c AS (SELECT conv_id, turn, role, left(text, 300) AS t FROM conversations),
+@query("truncate_tokens", f"""WITH c AS (SELECT conv_id, turn, role, text AS t FROM conversations),
 fit AS (SELECT c.conv_id, c.turn, c.role, c.t, max(i) AS n FROM c, LATERAL (SELECT unnest(generate_series(0, length(c.t))) AS i) WHERE {_TOKENS.format("left(c.t, i)")} <= 15 GROUP BY ALL)
 SELECT conv_id, turn, role, CASE WHEN {_TOKENS.format("t")} <= 20 THEN t ELSE rtrim(left(t, n), ' ' || chr(10) || chr(9) || chr(13)) || chr(10) || '… [elided]' END AS text FROM fit""")
 def truncate_tokens(spark, sf):
-    cut = T.truncate(F.substring("text", 1, 300), F.lit(20))
+    cut = T.truncate(F.col("text"), F.lit(20))
     return table(spark, sf, "conversations").select("conv_id", "turn", "role", cut.alias("text"))
 
 
@@ -223,30 +225,30 @@ def assemble_context(spark, sf):
 def file_outline(spark, sf):
     s = _symbols(spark, sf)
     kind = F.when(F.col("symbol") % 5 == 4, "interface").otherwise(F.col("kind"))
-    body = F.when(F.col("symbol") % 5 == 4, F.substring("body", 1, 60)).otherwise("")
+    body = F.when(F.col("symbol") % 5 == 4, F.col("body")).otherwise("")
     named = s.select(
         "file", F.col("symbol").alias("start"), F.concat(F.lit("n"), (F.col("symbol") % 50).cast("string")).alias("name"), kind.alias("kind"),
-        F.when(F.col("symbol") % 3 == 0, F.concat(F.lit("n"), ((F.col("symbol") - 1) % 50).cast("string"))).alias("container"), F.substring("body", 1, 40).alias("signature"), body.alias("body"),
+        F.when(F.col("symbol") % 3 == 0, F.concat(F.lit("n"), ((F.col("symbol") - 1) % 50).cast("string"))).alias("container"), F.concat_ws(" ", "kind", F.lit("of"), "body").alias("signature"), body.alias("body"),
     )
     # one outline for each hundred symbols of a source
     return X.outline(named.withColumn("file", F.concat("file", F.lit("/"), F.floor(F.col("start") / 100).cast("string"))), 400).withColumn("declared", F.array_join("declared", ","))
 
 
-@query("outline_entries", """SELECT doc_id, '- ' || CASE WHEN doc_id % 2 = 0 THEN source || '.' ELSE '' END || lang || CASE WHEN doc_id % 3 = 0 AND trim(text) <> '' THEN ' {' || chr(10) || array_to_string(list_transform(string_split(text, chr(10)), lambda x: '    ' || x), chr(10)) || chr(10) || '  }' ELSE '' END AS entry
-FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(13))""")
+@query("outline_entries", r"""SELECT doc_id, '- ' || CASE WHEN doc_id % 2 = 0 THEN source || '.' ELSE '' END || lang || CASE WHEN doc_id % 3 = 0 AND trim(text) <> '' THEN ' {' || chr(10) || array_to_string(list_transform(string_split_regex(text, '\r?\n'), lambda x: '    ' || x), chr(10)) || chr(10) || '  }' ELSE '' END AS entry
+FROM documents""")
 def outline_entries(spark, sf):
     kind = F.when(F.col("doc_id") % 3 == 0, "enum").otherwise("class")
-    docs = table(spark, sf, "documents").filter("text is not null and not contains(text, '\r')")
+    docs = table(spark, sf, "documents")
     return docs.select("doc_id", X.outline_entry(kind, F.when(F.col("doc_id") % 2 == 0, F.col("source")), F.col("lang"), F.col("text")).alias("entry"))
 
 
-_SITES = "s AS (SELECT source AS file, doc_id AS line FROM documents WHERE doc_id % 10 = 3), l AS (SELECT source AS file, doc_id AS line, min(left(text, 20)) AS content FROM documents WHERE text IS NOT NULL GROUP BY ALL)"
+_SITES = "s AS (SELECT source AS file, doc_id AS line FROM documents WHERE doc_id % 10 = 3), l AS (SELECT source AS file, doc_id AS line, min(text) AS content FROM documents WHERE text IS NOT NULL GROUP BY ALL)"
 
 
 @query("source_window", rf"""WITH {_SITES} SELECT s.file, s.line, regexp_replace(string_agg(l.content, chr(10) ORDER BY l.line), '\s+$', '') AS text FROM s JOIN l ON s.file = l.file AND l.line BETWEEN s.line - 2 AND s.line + 2 GROUP BY s.file, s.line""")
 def source_window(spark, sf):
     d = table(spark, sf, "documents")
-    lines = d.filter("text is not null").groupBy(F.col("source").alias("file"), F.col("doc_id").alias("line")).agg(F.min(F.substring("text", 1, 20)).alias("content"))
+    lines = d.filter("text is not null").groupBy(F.col("source").alias("file"), F.col("doc_id").alias("line")).agg(F.min("text").alias("content"))
     return X.source_window(lines, d.filter("doc_id % 10 = 3").select(F.col("source").alias("file"), F.col("doc_id").alias("line")), 2)
 
 
@@ -456,3 +458,21 @@ def call_graph(spark, sf):
     spans = d.select(F.col("source").alias("file"), F.col("doc_id").alias("symbol"), (F.col("doc_id") * 10).alias("start"), (F.col("doc_id") * 10 + 5 + F.col("n_chars") % 70).alias("end"))
     calls = d.select(F.col("doc_id").alias("call"), *base, (F.col("doc_id") * 10 + 3).alias("point"))
     return G.call_graph(calls, d.select(*base, F.col("doc_id").alias("symbol")), spans)
+
+
+# ------------------------------------------------------------------ cases read back, requests of a run
+
+
+@query("evaluation_read", "SELECT doc_id, quality AS useful, CASE WHEN toxic = 0 THEN 'ACCEPT' ELSE 'REJECT' END AS verdict FROM labels")
+def evaluation_read(spark, sf):
+    """The labels written as cases, one JSON object a line, and read again."""
+    path = shared_dir(spark, "cases")
+    cases = table(spark, sf, "labels").select("doc_id", F.col("quality").alias("useful"), F.when(F.col("toxic") == 0, "ACCEPT").otherwise("REJECT").alias("verdict"))
+    cases.write.json(path)
+    return read_cases(spark, path, cases.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), 1, "verdict", 1)
+
+
+@query("pacing_caps", """SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) > 20 AS refused FROM events""")
+def pacing_caps(spark, sf):
+    rows = table(spark, sf, "events").select("event_id", F.col("user_id").alias("run"), F.col("ts").alias("at"))
+    return O.capped(rows, 20, ["at", "event_id"]).select("event_id", "refused")
