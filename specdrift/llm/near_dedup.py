@@ -13,10 +13,12 @@ than the text's latest register, so long texts cost little more than one arrival
 Registers are grouped into bands; texts that agree in a band are candidates. Copies are collapsed
 first, so a group of copies is one member of its buckets. All members of a bucket are compared with a
 pivot, the member with the largest buckets over all bands. Where that leaves a bucket in several
-components, the members outside the one with most members are compared with about 64 of its members,
-and those still outside with every member of another component. So every pair of a bucket that is not
-in one component is compared, and a large group of near copies costs a few comparisons for each member;
-only members that stay outside meet all others. There is no cap on buckets or partners.
+components, the members outside the one with most members are compared with about 64 of its members.
+Those still outside meet all members of other components with which they share a rare shingle: a text's
+rarest shingles, up to just over 1 - threshold of its weight. J is at most the share of either text's
+weight that both have, so the rarest shingle that two texts of a link have in common is rare in both, and
+no link is lost. Many texts that have only a common passage in common share no rare shingle and are not
+compared. There is no cap on buckets or partners.
 
 Pairs whose registers agree too rarely for the threshold are not formed; the others are verified
 exactly on their shingles. After the first comparison one bit is taken of each of ``FINE`` registers of the
@@ -54,8 +56,11 @@ BANDS, ROWS = 48, 7
 U64 = np.uint64
 #: Registers of the finer sketch of texts that stay outside a bucket's main component or meet one that does.
 FINE = 1_344
-#: Members of a bucket's main component, about, that those outside are compared with before all.
-SOME = (64,)
+#: Members of a bucket's main component, about, that those outside are compared with first.
+SOME = 64
+#: Counters of how many texts have a shingle. Shingles that share one are taken for as frequent as both
+#: together; any order gives the same links, and a better one fewer pairs.
+COUNTERS = 1 << 20
 #: Arrivals that one step over few shingles makes at once.
 AT_ONCE = 65_536
 _NEVER = U64(0xFFFFFFFFFFFFFFFF)
@@ -246,6 +251,61 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, least: float) -> DataFram
     return both.select("a", "b", "ca", "cb", "ta", "tb").mapInArrow(run, "a bigint, b bigint, ca bigint, cb bigint")
 
 
+def _counter(item: np.ndarray) -> np.ndarray:
+    return (mix64(item) & U64(COUNTERS - 1)).astype(np.int64)
+
+
+def frequencies(texts: DataFrame, k: int) -> np.ndarray:
+    """``COUNTERS`` numbers of texts (id, t) that have a shingle of that counter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(COUNTERS, np.int64)
+        for batch in sliced(batches, "t"):
+            n += np.bincount(_counter(shingle_sets(batch.column("t"), k)[1]), minlength=COUNTERS)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["counter", "n"])
+
+    sums = texts.mapInArrow(run, "counter bigint, n bigint").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+    found = np.zeros(COUNTERS, np.int64)
+    found[sums["counter"].to_numpy()] = sums["n"].to_numpy()
+    return found
+
+
+def rare_shingles(texts: DataFrame, k: int, least: float) -> DataFrame:
+    """(rep, s): the rarest shingles of texts (id, t), each with less than 1 - ``least`` of the text's weight before
+    it or just that. Two texts whose common shingles have ``least`` of the weight of both have one of these in common."""
+    counts = texts.sparkSession.sparkContext.broadcast(frequencies(texts, k))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, "t"):
+            begins, item, weight = shingle_sets(batch.column("t"), k)
+            row = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+            order = np.lexsort((item, counts.value[_counter(item)], row))
+            item, total = item[order], np.concatenate(([0], np.cumsum(weight[order])))
+            before, whole = total[:-1] - total[begins[row]], total[begins[row + 1]] - total[begins[row]]
+            kept = before <= whole * (1 - least + 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(row[kept])), pa.array(item[kept].view(np.int64))], names=["rep", "s"])
+
+    return texts.mapInArrow(run, "rep bigint, s bigint")
+
+
+def _sharing_rare(members: DataFrame, texts: DataFrame, k: int, least: float) -> DataFrame:
+    """Pairs (rep, comp, p_rep, p_comp) of members of different components that have a rare shingle in common, the
+    first of them outside its bucket's main component."""
+    # a text may be outside in one bucket and not in another
+    who = stored(members.groupBy("rep").agg(F.first("comp").alias("comp"), F.max(F.col("comp") != F.col("main")).alias("out")), "who")
+    own = stored(texts.join(who.select(F.col("rep").alias("id")), "id", "left_semi"), "own")
+    rare = stored(rare_shingles(own, k, least).join(who, "rep"), "rare")
+    some = rare.groupBy("s").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("out").alias("any")).filter("any and lo <> hi")
+    shared = stored(rare.join(some.select("s"), "s", "left_semi"), "rare_shared")
+    others = shared.select("s", *[F.col(c).alias(f"p_{c}") for c in ("rep", "comp", "out")])
+    # a pair of two outside is formed from one side
+    pairs = shared.filter("out").join(others, "s").filter("comp <> p_comp and (not p_out or rep < p_rep)")
+    pairs = stored(pairs.select("rep", "comp", "p_rep", "p_comp").distinct(), "rare_pairs")
+    discard(who, own, rare, shared)
+    return pairs
+
+
 def _merged(comps: DataFrame | None, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``comps`` (node, root) after the links between components (ca, cb), and the new root of each of these."""
     new = stored(components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b"))), "roots")
@@ -305,19 +365,9 @@ def classes(
     members = _open(rest.join(briefs.select("rep", "bands"), "rep").join(fine, "rep"))
     discard(shared, briefs, rest)
 
-    # then those outside their bucket's main component: with some of its members, with more, with all others
-    for some in (*SOME, None):
-        if members.isEmpty():
-            break
-        p = members if some is None else members.filter(
-            (F.col("comp") == F.col("main")) & (F.pmod(F.xxhash64("rep", "bucket"), F.greatest(F.lit(1), F.floor(F.col("n") / some))) == 0)
-        )
-        p = p.select("bucket", *[F.col(c).alias(f"p_{c}") for c in ("rep", "comp", "bands", *_WORDS)])
-        # a pair of two outside is formed from one side, and one that shares several buckets in the least of them
-        one_side = (F.col("p_comp") == F.col("main")) | (F.col("rep") < F.col("p_rep"))
-        once = F.array_min(F.array_intersect("bands", "p_bands")) == F.col("bucket")
-        outside = members.filter("comp <> main").select("bucket", "rep", "comp", "main", "bands", *_WORDS)
-        pairs = outside.join(p, "bucket").filter((F.col("comp") != F.col("p_comp")) & one_side & finely & once)
+    def link(pairs: DataFrame) -> DataFrame:
+        """Verifies pairs (rep, comp, p_rep, p_comp), merges their components, and returns the members still open."""
+        nonlocal comps
         mine = F.col("rep") < F.col("p_rep")
         either = lambda x, y: F.when(mine, F.col(x)).otherwise(F.col(y))
         pairs = pairs.select(either("rep", "p_rep").alias("a"), either("p_rep", "rep").alias("b"), either("comp", "p_comp").alias("ca"), either("p_comp", "comp").alias("cb")).distinct()
@@ -327,8 +377,24 @@ def classes(
         found = stored(verify(tested[-1], texts, k, least), "found")
         before, (comps, new) = comps, _merged(comps, found)
         moved = members.join(new.select(F.col("node").alias("comp"), F.col("root").alias("to")), "comp", "left")
-        last, members = members, _open(moved.select("bucket", "rep", F.coalesce("to", "comp").alias("comp"), "bands", *_WORDS))
-        discard(before, found, last)
+        after = _open(moved.select("bucket", "rep", F.coalesce("to", "comp").alias("comp"), "bands", *_WORDS))
+        discard(before, found, new, members)
+        return after
+
+    # then those outside their bucket's main component with some of its members
+    if not members.isEmpty():
+        some = F.pmod(F.xxhash64("rep", "bucket"), F.greatest(F.lit(1), F.floor(F.col("n") / SOME))) == 0
+        p = members.filter((F.col("comp") == F.col("main")) & some).select("bucket", *[F.col(c).alias(f"p_{c}") for c in ("rep", "comp", "bands", *_WORDS)])
+        # a pair that shares several buckets is formed in the least of them
+        once = F.array_min(F.array_intersect("bands", "p_bands")) == F.col("bucket")
+        members = link(members.filter("comp <> main").join(p, "bucket").filter(finely & once))
+    # and with all members of other components that share a rare shingle
+    if not members.isEmpty():
+        pairs = _sharing_rare(members, texts, k, least)
+        mine = members.select("rep", *_WORDS).dropDuplicates(["rep"])
+        theirs = mine.withColumnsRenamed({c: f"p_{c}" for c in ("rep", *_WORDS)})
+        members = link(pairs.join(mine, "rep").join(theirs, "p_rep").filter(finely))
+        discard(pairs)
     discard(texts, members, *tested)
 
     # stored, so that the join can split a group of copies that holds a large part of all rows
