@@ -1,6 +1,5 @@
 """Near-duplicate classes against a brute force that shares no code with the operator."""
 
-import random
 from collections import Counter, defaultdict
 
 import pytest
@@ -71,44 +70,3 @@ def test_registers_of_chunks_do_not_depend_on_neighbours(m):
     whole = near_dedup.signatures(sets, m)
     for i, one in enumerate(sets):
         assert (near_dedup.signatures([one], m)[0] == whole[i]).all()
-
-
-def test_texts_that_only_share_a_long_passage_are_not_compared_with_each_other(spark, monkeypatch):
-    """6,000 texts with 200 words in common and 60 of their own: a sixth of them meet in each band and link to nothing.
-    Every fiftieth has a near copy, which must be found among them."""
-    passage = " ".join(f"p{i}" for i in range(200))
-    own = lambda i: [f"d{i}x{j}" for j in range(60)]
-    rows = [(i, f"{passage} {' '.join(own(i))}") for i in range(6000)]
-    rows += [(10_000 + i, f"{passage} {' '.join(own(i)[:-1])} other") for i in range(0, 6000, 50)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
-    formed, real = [], near_dedup._sharing_rare
-    monkeypatch.setattr(near_dedup, "_sharing_rare", lambda *a: formed.append(real(*a)) or formed[-1])
-    counted, verify = [], near_dedup.verify
-    monkeypatch.setattr(near_dedup, "verify", lambda pairs, *a: counted.append(pairs.count()) or verify(pairs, *a))
-    sizes = []
-    monkeypatch.setattr(near_dedup, "discard", lambda *tables: sizes.extend(t.count() for t in tables if t in formed))
-    got = dict(near_dedup.classes(docs).collect())
-    assert got == {i: i - 10_000 if i >= 10_000 else i for i, _ in rows}
-    # pairs formed grow with the links, not with the square of the texts
-    assert len(formed) == 1 and sizes[-1] <= 2 * 120 and sum(counted[1:]) <= 6000
-
-
-def test_texts_of_a_link_share_a_rare_shingle(spark):
-    rng = random.Random(3)
-    base = [[rng.choice("abcdefgh") for _ in range(rng.randint(6, 60))] for _ in range(12)]
-    texts = []
-    for words in base:
-        for _ in range(12):
-            copy = list(words)
-            for _ in range(rng.randint(0, 3)):
-                copy[rng.randrange(len(copy))] = rng.choice("abcdefgh")
-            texts.append(" ".join(copy * rng.randint(1, 3)))
-    texts = list(dict.fromkeys(texts))
-    docs = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string").repartition(4)
-    rare = defaultdict(set)
-    for r in near_dedup.rare_shingles(docs, 5, 0.8).collect():
-        rare[r["rep"]].add(r["s"])
-    sets = [near_dedup.shingles(t) for t in texts]
-    links = [(i, j) for i in range(len(texts)) for j in range(i) if near_dedup.probability_jaccard(sets[i], sets[j]) >= 0.8]
-    assert len(links) >= 20 and all(rare[i] & rare[j] for i, j in links)
-    assert sum(map(len, rare.values())) < 0.5 * sum(len(h) for h, _ in sets)
