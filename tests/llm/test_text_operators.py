@@ -39,6 +39,31 @@ def test_bpe_decodes_broken_utf8_like_the_library():
         assert ours.decode(ids) == theirs.decode(ids.tolist(), skip_special_tokens=False)
 
 
+def test_bpe_of_many_texts_equals_the_library_and_encodes_words_together(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = tokenizer_path()
+    ours, theirs = bpe.Vocabulary(path), Tokenizer.from_file(path)
+    random.seed(7)
+    parts = ["er", "in", "on", "tion", "ä", "ß", "çê", "ing", "ou", "th", "qu", "zu", "x"]
+    ends = [" ", " ", " ", " ", ", ", ".\n", "\n ", "  ", " \t", "'s ", "$$$ ", "7 ", " <|endoftext|> ", "\x1c ", "\u00a0", "漢🙂 "]
+    words = ["".join(random.choices(parts, k=random.randint(1, 9))) for _ in range(20_000)] + ["q" * 70, "ab" * 50, "-" * 63, "-" * 64]
+    texts = ["", " ", "\n", " a", "a ", "a\n", "\n a", "a  b", "-" * 500] + ["".join(random.choice(words) + random.choice(ends) for _ in range(40)) for _ in range(2000)]
+    alone = []
+    piece = bpe.Vocabulary.piece
+    monkeypatch.setattr(bpe.Vocabulary, "piece", lambda self, data: alone.append(data) or piece(self, data))
+    monkeypatch.setattr(bpe, "MEMORY", 3000)  # generations are forgotten on the way
+    want = [theirs.encode(t, add_special_tokens=False).ids for t in texts]
+    got = [found for at in range(0, len(texts), 500) for found in ours.encode_all(texts[at : at + 500])]
+    assert [ids.tolist() for ids, _ in got] == want
+    assert [decimals for _, decimals in got] == [",".join(map(str, w)) for w in want]
+    assert len(ours.memory.young) <= 3000 and len(ours.memory.old) <= 3000
+    # by itself goes only what is long, and the last few of each batch
+    assert sum(len(p) < bpe.LONG for p in alone) < 200
+    # the same texts one by one, whatever the memory holds by now
+    assert [ours.encode(t)[0].tolist() for t in texts[:200]] == want[:200]
+
+
 def test_bpe_columns(spark):
     docs = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (3, "one two " * 3000, "x"), (3, "one two " * 3000, "x")], "doc_id bigint, text string, ids string")
     coded = bpe.encode_documents(docs, tokenizer_path())
