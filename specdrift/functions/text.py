@@ -278,10 +278,41 @@ def salvage_json(output: Column, schema: str = "id string, verdict string, reaso
     return F.get(F.filter(parsed, lambda x: x["id"].isNotNull() & x["verdict"].isNotNull()), F.lit(0))
 
 
-def format_cost(basis: Column, cost: Column) -> Column:
+def six_places(value: Column, ties_to_even: bool = False) -> Column:
+    """A double's exact value to six places; what lies in the middle goes up, or to the even digit.
+
+    Java's formats round the shortest digits that name a double instead, which are others from about 10^10 on; only
+    from 2^125 on they are used.
+    """
+
+    def part(digits: Column) -> Column:
+        # the fraction in steps of 2^-78, of which 10^6 / 2^78 = 15625 / 2^72 makes millionths
+        first, second = digits["first"] * 15625, digits["second"] * 15625
+        high, low = first + F.shiftright(second, 39), second.bitwiseAND(2**39 - 1)
+        return F.struct(digits["whole"].alias("whole"), F.shiftright(high, 33).alias("n"), high.bitwiseAND(2**33 - 1).alias("rest"), (low > 0).alias("more"))
+
+    def text(p: Column) -> Column:
+        odd = p["n"] % 2 == 1 if ties_to_even else F.lit(True)
+        up = (p["rest"] > 2**32) | ((p["rest"] == 2**32) & (p["more"] | odd))
+        return let(p["n"] + up.cast("int"), lambda n: F.concat((p["whole"] + F.floor(n / 1_000_000)).cast("string"), F.lit("."), F.lpad((n % 1_000_000).cast("string"), 6, "0")))
+
+    def exact(x: Column) -> Column:
+        # scaling by powers of two and taking off the whole part lose nothing
+        top = F.floor(x / 2.0**62)
+        left = x - top * 2.0**62
+        scaled = (left - F.floor(left)) * 2.0**39
+        whole = top.cast("decimal(19,0)") * F.lit(2**62).cast("decimal(19,0)") + F.floor(left).cast("decimal(19,0)")
+        digits = F.struct(whole.alias("whole"), F.floor(scaled).alias("first"), F.floor((scaled - F.floor(scaled)) * 2.0**39).alias("second"))
+        return let(let(digits, part), text)
+
+    sized = F.when(F.abs(value) < 2.0**125, F.concat(F.when(value < 0, "-").otherwise(""), let(F.abs(value), exact)))
+    return sized.when(value.isNotNull(), F.format_string("%.6f", value))
+
+
+def format_cost(basis: Column, cost: Column, ties_to_even: bool = False) -> Column:
     """Fixed phrases for each basis; dollars to six places."""
     return (
-        F.when(basis == "usd", F.concat(F.lit("$"), F.format_string("%.6f", F.coalesce(cost, F.lit(0.0)))))
+        F.when(basis == "usd", F.concat(F.lit("$"), six_places(F.coalesce(cost, F.lit(0.0)), ties_to_even)))
         .when(basis == "subscription", "subscription allowance (no monetary cost available)")
         .when(basis == "none", "no model calls")
         .otherwise("cost unavailable")

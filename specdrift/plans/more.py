@@ -84,7 +84,7 @@ def evaluation_write(spark, sf):
 FROM (SELECT run, count(DISTINCT nullif(cost_basis, 'none')) AS k, max(nullif(cost_basis, 'none')) AS b, sum(cost_usd) AS c FROM usage GROUP BY run)"""))
 def usage_text(spark, sf):
     merged = M.merge_usage(view(spark, sf, "usage"), ["run"])
-    return merged.select("run", T.format_cost(F.col("cost_basis"), F.col("cost_usd").cast("double")).alias("text"))
+    return merged.select("run", T.format_cost(F.col("cost_basis"), F.col("cost_usd").cast("double"), ties_to_even=True).alias("text"))
 
 
 # ------------------------------------------------------------------ sources and scalars

@@ -1,8 +1,13 @@
 """Queries whose results hang on how numbers are rounded, against their SQL on small tables made for it."""
 
+from decimal import ROUND_HALF_EVEN, ROUND_HALF_UP, Decimal, localcontext
+
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
-from specdrift.plans import catalog
+from specdrift.functions import text as T
+from specdrift.plans import catalog, more  # noqa: F401 - it registers its queries
 
 
 def both(spark, folder, name, source, rows):
@@ -22,3 +27,22 @@ def test_windows_end_at_the_nearest_second(spark, tmp_path):
     assert got == want
     at = [(i % 2, round(s)) for i, s in enumerate(seconds)]
     assert [n for _, n in got] == [sum(u == v and t - 3599 <= s <= t for v, s in at) for u, t in at]
+
+
+def test_costs_have_the_digits_of_their_doubles(spark, tmp_path):
+    prices = {"1a": [45210571592.70], "1b": [22491141309.93, 22491141309.93], "1c": [35184372088832.01], "1d": [-45210571592.70], "1e": [0.1, 0.2]}
+    values = ", ".join(f"(1, 2, 'P', {p!r}::DOUBLE, '{run}')" for run, some in prices.items() for p in some)
+    rows = f"SELECT * FROM (VALUES {values}) AS t(o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority)"
+    got, want = both(spark, tmp_path, "usage_text", "orders", rows)
+    assert got == want == [(run, f"${float(sum(Decimal(str(p)) for p in some)):.6f}") for run, some in prices.items()]
+    assert got[0] == ("1a", "$45210571592.699997")
+
+
+@pytest.mark.parametrize("even", [True, False])
+def test_six_places_are_exact(spark, even):
+    values = [0.0, 0.1, 5e-7, 4.9999999999999998e-7, 0.0078125, 0.0234375, 0.9999995, 0.99999949, 999999.9999995, 45210571592.7, 35184372088832.0078125, 2.0**53, 2.0**64 + 4096, 1e22, 4.2e37, 5e-324]
+    values += [-v for v in values[1:]]
+    rows = spark.createDataFrame(list(enumerate(values)), "i int, v double").select("i", T.six_places(F.col("v"), even).alias("t")).orderBy("i")
+    with localcontext(prec=60):
+        want = [f"{Decimal(v).quantize(Decimal('0.000001'), ROUND_HALF_EVEN if even else ROUND_HALF_UP):f}" for v in values]
+    assert [r["t"] for r in rows.collect()] == want
