@@ -454,8 +454,11 @@ def failfast_streak(spark, sf):
 @query("pacing_window", """SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY CAST(epoch(ts) AS BIGINT) RANGE BETWEEN 3599 PRECEDING AND CURRENT ROW) AS in_window FROM events""")
 def pacing_window(spark, sf):
     e = table(spark, sf, "events")
+    # a time without a zone is taken as it is, whatever the session's zone
+    zoned = dict(e.dtypes)["ts"] == "timestamp"
+    micros = F.unix_micros("ts") if zoned else F.expr("CAST(1000000 * CAST(CAST(ts - TIMESTAMP_NTZ'1970-01-01' AS INTERVAL SECOND) AS DECIMAL(20, 6)) AS BIGINT)")
     # to the nearest second, halves to the even one
-    rows = e.select("event_id", F.col("user_id").alias("run"), F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000).cast("bigint").alias("at"))
+    rows = e.select("event_id", F.col("user_id").alias("run"), F.rint(micros / 1_000_000).cast("bigint").alias("at"))
     return O.pacing(rows, 3600).select("event_id", "in_window")
 
 

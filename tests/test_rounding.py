@@ -29,6 +29,18 @@ def test_windows_end_at_the_nearest_second(spark, tmp_path):
     assert [n for _, n in got] == [sum(u == v and t - 3599 <= s <= t for v, s in at) for u, t in at]
 
 
+def test_windows_do_not_hang_on_the_session_zone(spark, tmp_path):
+    ts = "TIMESTAMP '2024-03-10 00:00:00' + to_minutes(CAST(7 * i AS INT))"
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")  # the clock changes at 2:00 of that day
+    try:
+        for name, one in (("local", ts), ("zoned", f"({ts}) AT TIME ZONE 'UTC'")):
+            (tmp_path / name).mkdir()
+            got, want = both(spark, tmp_path / name, "pacing_window", "events", f"SELECT i AS event_id, {one} AS ts, 1 AS user_id FROM range(60) t(i)")
+            assert got == want == [(i, min(i + 1, 9)) for i in range(60)]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_costs_have_the_digits_of_their_doubles(spark, tmp_path):
     prices = {"1a": [45210571592.70], "1b": [22491141309.93, 22491141309.93], "1c": [35184372088832.01], "1d": [-45210571592.70], "1e": [0.1, 0.2]}
     values = ", ".join(f"(1, 2, 'P', {p!r}::DOUBLE, '{run}')" for run, some in prices.items() for p in some)
